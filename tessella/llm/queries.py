@@ -8,10 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm import tables
+from tessella.llm.leaks import Leaks, find_leaks
+from tessella.llm.mixing import Mixing, Mixture, mix, quality_weights
 from tessella.llm.near_duplicates import NearDuplicates, groups, record_pairs
 
-#: Candidate shingles of ten words: shorter ones of formulaic sentences are held by too many texts.
-VERSIONS = NearDuplicates(shingle=10, check_shingle=2, measure="dice", threshold=0.6, k=24, floor=0.03, min_words=30)
+#: Candidate shingles of ten words: shorter ones of formulaic sentences are held by too many texts.  Two shared values
+#: of 24 make a candidate; pairs with a single one are found over a common neighbour.
+VERSIONS = NearDuplicates(shingle=10, check_shingle=2, measure="dice", threshold=0.6, k=24, floor=0.06, min_words=30)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -24,8 +27,32 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("tbl").alias("rec_table"), F.col("id").alias("rec_id"), "class_id", "n_links")
 
 
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    texts = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
+    items = tables.table(spark, folder, "eval_items").select(F.col("item_id").alias("item"), F.col("assistant").alias("passage"))
+    return find_leaks(texts, items, Leaks()).select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"))
+
+
+def _mixture(spark: SparkSession, folder: str) -> Mixture:
+    docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "source", "text")
+    weights = quality_weights(tables.table(spark, folder, "quality_reports"))
+    return mix(docs, tables.table(spark, folder, "mix_targets"), weights, Mixing())
+
+
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).report.filter("short").select("source")
+
+
+def p5_report(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).report
+
+
+def p5_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixture(spark, folder).selection.withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups}
+    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_mix": p5_mix}
 
 
 def oracle_sql() -> dict[str, str]:

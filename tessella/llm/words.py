@@ -2,26 +2,16 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import xxhash
-from pyspark.sql import Column
-from pyspark.sql import functions as F
 
 #: Cached word hashes; emptied when it reaches the bound, so a worker's memory doesn't follow the vocabulary.
 CACHE_BOUND = 400_000
 _cache: dict[str, int] = {}
 
 
-def plain_words(text: Column) -> Column:
-    """The maximal runs of letters or digits of the lower-cased text, joined by single spaces; '' for null."""
-    return F.trim(F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+", " "))
-
-
-def word_count(plain: Column) -> Column:
-    """Words of a `plain_words` column."""
-    return F.when(plain == "", 0).otherwise(F.length(plain) - F.length(F.replace(plain, F.lit(" "), F.lit(""))) + 1)
-
-
 class _Hashes(dict):
     def __missing__(self, word: str) -> int:
         if len(self) >= CACHE_BOUND:
@@ -33,10 +23,17 @@ class _Hashes(dict):
 _hashes = _Hashes()
 
 
-def hash_words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+_find = re.compile(r"[^\W_]+").findall
+
+
+def split_words(text: str | None) -> list[str]:
+    """The maximal runs of letters or digits of the lower-cased text; none for null."""
+    return _find(text.lower()) if text else []
+
+
+def hash_words(split: list[list[str]]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words of all texts in one array, and the offsets of the texts in it (one more than texts)."""
-    split = [t.split(" ") if t else [] for t in texts]
-    offsets = np.zeros(len(texts) + 1, dtype=np.int64)
+    offsets = np.zeros(len(split) + 1, dtype=np.int64)
     np.cumsum([len(s) for s in split], out=offsets[1:])
     look = _hashes.__getitem__
     flat = np.fromiter((look(w) for s in split for w in s), dtype=np.uint64, count=int(offsets[-1]))
