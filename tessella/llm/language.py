@@ -49,6 +49,14 @@ FUNCTION_WORDS: dict[str, frozenset[str]] = {
     ),
 }
 ALL_FUNCTION_WORDS = frozenset().union(*FUNCTION_WORDS.values())
+#: Words of shops and offers.
+COMMERCE = frozenset(
+    "buy cheap cheapest order sale sales discount discounts deal deals coupon coupons wholesale bulk shipping price prices best top offer offers shop store online free review reviews sku checkout bargain clearance promo near me new now "
+    "comprar compra barato barata baratos precio precios oferta ofertas descuento descuentos envío gratis tienda línea mejor mejores rebajas pedido venta "
+    "acheter achat boutique prix cher chère ligne solde soldes promo livraison meilleur meilleure gratuit gratuite offre offres remise commander vente "
+    "kaufen preis preise günstig billig rabatt versand bestellen angebot angebote kostenlos beste bester laden gutschein verkauf online "
+    "comprare prezzo prezzi sconto offerta spedizione negozio economico preço desconto loja frete grátis kopen goedkoop prijs korting bestel winkel aanbieding".split()
+)
 #: A word that several languages share counts in part for each of them.
 WEIGHTS: dict[str, dict[str, float]] = {}
 for _lang, _words in FUNCTION_WORDS.items():

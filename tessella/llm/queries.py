@@ -9,12 +9,15 @@ from pyspark.sql import functions as F
 
 from tessella.llm import tables
 from tessella.llm.leaks import Leaks, find_leaks
+from tessella.llm.line_states import LineStates, text_statistics
 from tessella.llm.mixing import Mixing, Mixture, mix, quality_weights
 from tessella.llm.near_duplicates import NearDuplicates, groups, record_pairs
+from tessella.llm.reply_defects import defects, labels
+from tessella.llm.spam_pages import SpamPages, score_pages
 
 #: Candidate shingles of ten words: shorter ones of formulaic sentences are held by too many texts.  Two shared values
-#: of 24 make a candidate; pairs with a single one are found over a common neighbour.
-VERSIONS = NearDuplicates(shingle=10, check_shingle=2, measure="dice", threshold=0.6, k=24, floor=0.06, min_words=30)
+#: of 32 make a candidate; pairs with a single one are found over a common neighbour.
+VERSIONS = NearDuplicates(shingle=10, check_shingle=2, measure="dice", threshold=0.6, k=32, floor=0.06, min_words=30)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -27,6 +30,26 @@ def p1_groups(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("tbl").alias("rec_table"), F.col("id").alias("rec_id"), "class_id", "n_links")
 
 
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    got = defects(tables.question_replies(spark, folder))
+    return got.select(F.col("tbl").alias("rec_table"), F.col("id").alias("rec_id"), "defect")
+
+
+def p2_labels(spark: SparkSession, folder: str) -> DataFrame:
+    got = labels(tables.question_replies(spark, folder))
+    return got.select(F.col("tbl").alias("rec_table"), F.col("id").alias("rec_id"), "defect", F.round("posterior", 6).alias("posterior"))
+
+
+def p3_found(spark: SparkSession, folder: str) -> DataFrame:
+    got = text_statistics(tables.judged_texts(spark, folder), LineStates()).filter("not is_prose")
+    return got.select(F.col("tbl").alias("rec_table"), F.col("id").alias("rec_id"))
+
+
+def p3_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    got = text_statistics(tables.judged_texts(spark, folder), LineStates())
+    return got.withColumnsRenamed({"tbl": "rec_table", "id": "rec_id"})
+
+
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
     texts = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text")
     items = tables.table(spark, folder, "eval_items").select(F.col("item_id").alias("item"), F.col("assistant").alias("passage"))
@@ -51,8 +74,18 @@ def p5_mix(spark: SparkSession, folder: str) -> DataFrame:
     return _mixture(spark, folder).selection.withColumnRenamed("id", "doc_id")
 
 
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return score_pages(docs, SpamPages()).filter("is_spam").select(F.col("id").alias("doc_id"))
+
+
+def p6_scores(spark: SparkSession, folder: str) -> DataFrame:
+    docs = tables.table(spark, folder, "documents").select(F.col("doc_id").alias("id"), "text", "lang")
+    return score_pages(docs, SpamPages()).withColumnRenamed("id", "doc_id")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"p1_found": p1_found, "p1_groups": p1_groups, "p4_found": p4_found, "p5_found": p5_found, "p5_report": p5_report, "p5_mix": p5_mix}
+    return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_labels, p3_found, p3_statistics, p4_found, p5_found, p5_report, p5_mix, p6_found, p6_scores)}
 
 
 def oracle_sql() -> dict[str, str]:
