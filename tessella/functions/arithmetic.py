@@ -10,6 +10,7 @@ from statistics import NormalDist
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _normal = NormalDist()
 
@@ -131,16 +132,16 @@ def with_results(reply: str | None) -> str | None:
     return TAG.sub(one, reply)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def answer_arithmetic(questions: pd.Series) -> pd.Series:
     return questions.map(answered)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def replace_tool_tags(replies: pd.Series) -> pd.Series:
     return replies.map(with_results)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def evaluate_expression(expressions: pd.Series) -> pd.Series:
     return expressions.map(lambda x: None if x is None else evaluate(x)[0])

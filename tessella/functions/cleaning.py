@@ -11,6 +11,7 @@ from enum import Enum
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.text_rules import SPACE, blank, lines, strip, tokens
 
@@ -25,7 +26,7 @@ class Cleaning(str, Enum):
 LEAST_WORDS = 4
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def nfkc(texts: pd.Series) -> pd.Series:
     """Unicode compatibility composition; Spark has no function for it."""
     return texts.map(lambda t: None if t is None else unicodedata.normalize("NFKC", t))

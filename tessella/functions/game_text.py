@@ -8,6 +8,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessella.functions.cleaning import ordinal
 
@@ -59,13 +60,13 @@ def block_lines(block: object) -> list[str]:
     return ([str(name)] if name else []) + [x for sub in inner for x in block_lines(sub)]
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def resolve_tags(texts: pd.Series) -> pd.Series:
     """Texts with `{@tag a|b}` written out."""
     return texts.map(lambda t: None if t is None else resolve(t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def render_blocks(entries: pd.Series) -> pd.Series:
     """A JSON array of blocks as lines of text; null where it isn't JSON."""
 
@@ -100,7 +101,7 @@ def spell_meta(level: Column, school: Column) -> Column:
     return F.concat_ws("\n", F.lit("Category: spell"), F.concat(F.lit("Level: "), words), F.concat(F.lit("School: "), F.coalesce(school, F.lit(""))))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def generic_text(records: pd.Series) -> pd.Series:
     """A JSON object as heading and lines of its texts and lists, without the fields of its source document."""
 

@@ -7,6 +7,7 @@ from html.parser import HTMLParser
 
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Elements that hold no content, and those that hold the main content, best first.
 NOISE = frozenset({"script", "style", "nav", "footer", "header", "aside"})
@@ -67,11 +68,11 @@ def fragment_text(html: str | None) -> str:
     return re.sub(r"\n{3,}", "\n\n", "\n".join(data for _, _, data in c.nodes)).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def main_text(pages: pd.Series) -> pd.Series:
     return pages.map(page_text)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def body_text(fragments: pd.Series) -> pd.Series:
     return fragments.map(fragment_text)

@@ -10,6 +10,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 VOWELS = frozenset("aeiou")
 # Forms that no rule gives.
@@ -133,7 +134,7 @@ def token_array(c: Column) -> Column:
     return F.filter(F.regexp_extract_all(c, F.lit(f"({TOKEN})"), F.lit(1)), lambda x: F.length(x) > 1)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def stems(texts: pd.Series) -> pd.Series:
     """The stems of a text's tokens, in order; null for null."""
     return texts.map(lambda t: None if t is None else [stem(w) for w in _token.findall(t) if len(w) > 1])

@@ -10,6 +10,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Tokens of answers: numbers with sign, decimals or fraction, and words with inner apostrophes (fixed value).
 ANSWER_TOKEN = r"[+-]?\d+(?:[./]\d+)?|[a-z]+(?:'[a-z]+)*"
@@ -72,7 +73,7 @@ def answer_f1(prediction: str | None, reference: str | None, question: str | Non
     return window_f1(own_p, own_r) if own_p and own_r else window_f1(p, r)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def best_window_f1(prediction: pd.Series, reference: pd.Series, question: pd.Series) -> pd.Series:
     return pd.Series([answer_f1(*x) for x in zip(prediction, reference, question)], dtype="float64")
 

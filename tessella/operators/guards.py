@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def looping_tokens(ids: list[int], repeats: int = 3, longest: int = 4, match: float = 1.0) -> set[int]:
@@ -86,7 +87,7 @@ def _can_start(field: Field, value: str) -> bool:
     return field.most is None or len(digits) < len(str(field.most)) or (len(digits) == len(str(field.most)) and int(digits) <= field.most)
 
 
-@F.pandas_udf("name string, value string")
+@F.pandas_udf(T.StructType([T.StructField("name", T.StringType()), T.StructField("value", T.StringType())]))
 def active_field(texts: pd.Series) -> pd.DataFrame:
     """The field whose label came last, if its value is still being written; nulls otherwise."""
     names, values = [], []
