@@ -46,9 +46,10 @@ def drop_thin_lines(c: Column) -> Column:
 def drop_repeated_paragraphs(c: Column) -> Column:
     """Without paragraphs that equal, at their edges trimmed, the paragraph before."""
     parts = F.split(c, "\n\n")
-    trimmed = F.transform(parts, lambda x: strip(x))
-    kept = F.filter(parts, lambda x, i: (i == 0) | (strip(x) != F.get(trimmed, i - 1)))
-    return F.array_join(kept, "\n\n")
+    before = F.concat(F.array(F.lit(None).cast("string")), parts)
+    pairs = F.arrays_zip(parts.alias("x"), F.slice(before, 1, F.size(parts)).alias("y"))
+    kept = F.filter(pairs, lambda z: z["y"].isNull() | (strip(z["x"]) != strip(z["y"])))
+    return F.array_join(F.transform(kept, lambda z: z["x"]), "\n\n")
 
 
 def clean(c: Column, level: Cleaning = Cleaning.STANDARD, normalize: bool = True) -> Column:

@@ -39,3 +39,14 @@ def blank(c: Column) -> Column:
 def char_count(c: Column, keep: str) -> Column:
     """Number of characters of `c` that lie in the character class `keep`."""
     return F.length(F.regexp_replace(c, f"[^{keep}]", ""))
+
+
+def runs(items: Column, n: int) -> Column:
+    """All runs of n neighbouring elements as structs with fields r0, r1, ..; none for a shorter array.
+
+    Slices are zipped, so the array is built once per slice.  A lambda that indexes into the array would have the
+    optimizer move the array's own expression into the lambda and build it anew for every element.
+    """
+    count = F.size(items) - (n - 1)
+    width = F.greatest(count, F.lit(0))
+    return F.arrays_zip(*[F.slice(items, k + 1, width).alias(f"r{k}") for k in range(n)])

@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.functions.text_rules import runs
+
 # Special tokens by id, the split pattern, and the layout of ids.
 SPECIAL = ["<PAD>", "<BOS>", "<EOS>", "<SEP>", "<USR>", "<AST>"]
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\w+| ?[^\s\w]+|\s+(?!\S)|\s"
@@ -43,8 +45,7 @@ def word_counts(texts: DataFrame, text: str = "text") -> DataFrame:
 
 def pair_counts(words: DataFrame) -> DataFrame:
     """(left, right, n): neighbouring symbols of words(symbols, n), weighted by the words' counts."""
-    pairs = F.transform(F.sequence(F.lit(1), F.size("symbols") - 1), lambda i: F.struct(F.element_at("symbols", i).alias("left"), F.element_at("symbols", i + 1).alias("right")))
-    return words.filter(F.size("symbols") > 1).select(F.explode(pairs).alias("p"), "n").groupBy("p.left", "p.right").agg(F.sum("n").alias("n"))
+    return words.select(F.explode(runs(F.col("symbols"), 2)).alias("p"), "n").groupBy(F.col("p.r0").alias("left"), F.col("p.r1").alias("right")).agg(F.sum("n").alias("n"))
 
 
 class Vocabulary:

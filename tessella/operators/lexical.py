@@ -6,11 +6,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.stemming import stems, token_array
+from tessella.functions.text_rules import runs
 
 
 def ngrams(tokens: Column, n: int = 4) -> Column:
     """All runs of n tokens, in order; none for a shorter array."""
-    return F.when(F.size(tokens) >= n, F.transform(F.sequence(F.lit(1), F.size(tokens) - (n - 1)), lambda i: F.slice(tokens, i, n))).otherwise(F.array().cast("array<array<string>>"))
+    return F.transform(runs(tokens, n), lambda z: F.array(*[z[f"r{k}"] for k in range(n)]))
 
 
 def words_of(text: Column, stemmed: bool = True) -> Column:
@@ -25,8 +26,11 @@ def build_index(docs: DataFrame, n: int = 4, stemmed: bool = True, excerpts: boo
     Counting is combined on the map side, so a frequent n-gram costs one row per task.
     """
     d = docs.filter(F.col("text").isNotNull()).withColumn("tokens", words_of(F.col("text"), stemmed))
-    each = d.select("doc_id", "source", *(["text"] if excerpts else []), F.posexplode(ngrams(F.col("tokens"), n)).alias("pos", "ngram"), F.col("tokens"))
-    following = F.get("tokens", F.col("pos") + n)
+    # one element more than the n-gram, filled up at the end, holds the token that follows
+    padded = F.concat("tokens", F.array(F.lit(None).cast("string")))
+    each = d.select("doc_id", "source", *(["text"] if excerpts else []), F.posexplode(ngrams(padded, n + 1)).alias("pos", "run"))
+    each = each.withColumn("ngram", F.slice("run", 1, n))
+    following = F.get("run", F.lit(n))
     first = [following.alias("next_token"), F.col("source")]
     if excerpts:
         first.append(excerpt_at(F.col("text"), F.col("pos"), n).alias("excerpt"))

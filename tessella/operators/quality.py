@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.functions.text_rules import SPACE, lines, strip, tokens
+from tessella.functions.text_rules import SPACE, lines, runs, strip, tokens
 
 
 @dataclass(frozen=True)
@@ -55,7 +55,7 @@ def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     symbols = F.length(F.regexp_replace(s, rf"[\p{{L}}\p{{N}}{ORDINARY}]", ""))
     short = F.aggregate(F.filter(ln, lambda x: F.size(tokens(x)) < 3), F.lit(0), lambda a, x: a + F.length(x))
     all_chars = F.aggregate(ln, F.lit(0), lambda a, x: a + F.length(x))
-    grams = F.when(F.size("_lw") >= 3, F.transform(F.sequence(F.lit(1), F.size("_lw") - 2), lambda i: F.concat_ws(" ", F.element_at("_lw", i), F.element_at("_lw", i + 1), F.element_at("_lw", i + 2)))).otherwise(F.array().cast("array<string>"))
+    grams = F.transform(runs(F.col("_lw"), 3), lambda z: F.concat_ws(" ", z["r0"], z["r1"], z["r2"]))
     out = d.select(
         *docs.columns,
         F.length(s).cast("double").alias("char_count"),
