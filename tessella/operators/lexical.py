@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,7 +22,7 @@ def words_of(text: Column, stemmed: bool = True) -> Column:
     return stems(text) if stemmed else F.transform(token_array(text), lambda w: F.lower(w))
 
 
-def build_index(docs: DataFrame, n: int = 4, stemmed: bool = True, excerpts: bool = False) -> DataFrame:
+def build_index(docs: DataFrame, n: int = 4, stemmed: bool = True, excerpts_wanted: bool = False) -> DataFrame:
     """(ngram, next_token, frequency, source[, excerpt]) of docs(doc_id, text, source).
 
     `frequency` counts occurrences; the other columns are those of the first occurrence by (doc_id, position).
@@ -28,38 +31,49 @@ def build_index(docs: DataFrame, n: int = 4, stemmed: bool = True, excerpts: boo
     d = docs.filter(F.col("text").isNotNull()).withColumn("tokens", words_of(F.col("text"), stemmed))
     # one element more than the n-gram, filled up at the end, holds the token that follows
     padded = F.concat("tokens", F.array(F.lit(None).cast("string")))
-    each = d.select("doc_id", "source", *(["text"] if excerpts else []), F.posexplode(ngrams(padded, n + 1)).alias("pos", "run"))
+    if excerpts_wanted:
+        d = d.withColumn("excerpts", excerpts(F.col("text"), n, F.greatest(F.size("tokens") - (n - 1), F.lit(0))))
+        zipped = F.arrays_zip(ngrams(padded, n + 1).alias("run"), F.col("excerpts").alias("excerpt"))
+        each = d.select("doc_id", "source", F.posexplode(zipped).alias("pos", "z")).select("doc_id", "source", "pos", "z.run", "z.excerpt")
+    else:
+        each = d.select("doc_id", "source", F.posexplode(ngrams(padded, n + 1)).alias("pos", "run"))
     each = each.withColumn("ngram", F.slice("run", 1, n))
-    following = F.get("run", F.lit(n))
-    first = [following.alias("next_token"), F.col("source")]
-    if excerpts:
-        first.append(excerpt_at(F.col("text"), F.col("pos"), n).alias("excerpt"))
+    first = [F.get("run", F.lit(n)).alias("next_token"), F.col("source"), *([F.col("excerpt")] if excerpts_wanted else [])]
     grouped = each.select("ngram", F.struct(F.col("doc_id"), F.col("pos"), *first).alias("at")).groupBy("ngram").agg(F.count("*").alias("frequency"), F.min("at").alias("at"))
-    return grouped.select("ngram", "at.next_token", "frequency", "at.source", *(["at.excerpt"] if excerpts else []))
+    return grouped.select("ngram", "at.next_token", "frequency", "at.source", *(["at.excerpt"] if excerpts_wanted else []))
 
 
 #: Characters of an excerpt beyond its n-gram, both sides together (fixed value).
 EXCERPT_WINDOW = 200
+_WORD = re.compile(r"\S+")
 
 
-def excerpt_at(text: Column, word: Column, n: int) -> Column:
-    """The text around the n white-space words from number `word`, widened to both sides and snapped to spaces.
+def text_excerpts(text: str, n: int, count: int) -> list[str | None]:
+    """The text around the n white-space words from number 0, 1, .. count - 1, widened to both sides, snapped to spaces.
 
     Words are counted by white space here and by tokens in the index, as single characters are no tokens; the window
-    may therefore drift within a text.  Null where there is no such word.
+    may therefore drift within a text.  None where there is no such word.
     """
-    cut = F.expr("regexp_instr(text, '\\\\S')")  # keeps the expression tree small for texts without leading space
-    words = F.regexp_extract_all(text, F.lit(r"(\S+\s*)"), F.lit(1))
-    lead = F.greatest(cut - 1, F.lit(0))
-    before = lambda k: lead + F.length(F.array_join(F.slice(words, 1, k), ""))
-    last = F.least(word + n - 1, F.size(words) - 1)
-    start = F.greatest(before(word) - EXCERPT_WINDOW // 2, F.lit(0))
-    end = F.least(before(last) + F.length(F.rtrim(F.get(words, last))) + EXCERPT_WINDOW // 2, F.length(text))
-    head = F.substring(text, F.lit(1), start + 1)
-    snapped = F.when((start > 0) & (F.instr(head, " ") > 0), F.length(head) - F.instr(F.reverse(head), " ") + 1).otherwise(start)
-    rest = F.instr(F.substring(text, end, F.length(text)), " ")
-    stop = F.when((end < F.length(text)) & (rest > 0), end + rest - 2).otherwise(end)
-    return F.when(word < F.size(words), F.trim(F.substring(text, snapped + 1, stop - snapped)))
+    spans = [m.span() for m in _WORD.finditer(text)]
+    out: list[str | None] = []
+    for i in range(count):
+        if i >= len(spans):
+            out.append(None)
+            continue
+        low = max(0, spans[i][0] - EXCERPT_WINDOW // 2)
+        high = min(len(text), spans[min(i + n, len(spans)) - 1][1] + EXCERPT_WINDOW // 2)
+        left = text.rfind(" ", 0, low + 1) if low else -1
+        right = text.find(" ", high - 1) if high < len(text) else -1
+        out.append(text[left + 1 if left >= 0 else low : right if right >= 0 else high].strip())
+    return out
+
+
+def excerpts(text: Column, n: int, count: Column) -> Column:
+    @F.pandas_udf("array<string>")
+    def around(texts: pd.Series, counts: pd.Series) -> pd.Series:
+        return pd.Series([text_excerpts(t or "", n, int(c)) for t, c in zip(texts, counts)])
+
+    return around(text, count)
 
 
 def postings(index: DataFrame) -> DataFrame:

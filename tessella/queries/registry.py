@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("texts",)
+MODULES = ("texts", "corpora", "learning")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
