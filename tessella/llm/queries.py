@@ -16,8 +16,8 @@ from tessella.llm.reply_defects import defects, labels
 from tessella.llm.spam_pages import SpamPages, score_pages
 
 #: Candidate shingles of ten words: shorter ones of formulaic sentences are held by too many texts.  Two shared values
-#: of 32 make a candidate; pairs with a single one are found over a common neighbour.
-VERSIONS = NearDuplicates(shingle=10, check_shingle=2, measure="dice", threshold=0.6, k=32, floor=0.06, min_words=30)
+#: of 48 make a candidate; pairs with a single one are found over a common neighbour.
+VERSIONS = NearDuplicates(shingle=10, check_shingle=2, measure="dice", threshold=0.6, k=48, floor=0.04, min_words=30)
 
 
 def p1_found(spark: SparkSession, folder: str) -> DataFrame:
