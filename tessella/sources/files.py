@@ -140,7 +140,7 @@ def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
         files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
         if files.isEmpty():
             raise FileNotFoundError(f"no .txt files under {folder}")
-        parts.append(files.select(F.lit(k).alias("input"), "path", F.decode("content", "UTF-8").alias("text")))
+        parts.append(files.select(F.lit(k).alias("input"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
