@@ -91,4 +91,10 @@ def quality_reports(docs: DataFrame, c: Cutoffs = Cutoffs(), text: str = "text")
 
 
 def kept_documents(docs: DataFrame, c: Cutoffs = Cutoffs(), text: str = "text") -> DataFrame:
-    return quality_reports(docs, c, text).filter("is_kept").select(*docs.columns)
+    """The documents with a good verdict.
+
+    The fence column keeps the optimizer from moving the filter, and with it every statistic several times over, below
+    the projection that computes the statistics once.
+    """
+    fenced = with_statistics(docs, text).withColumn("_fence", F.monotonically_increasing_id())
+    return with_verdict(fenced, c).filter(F.col("is_kept") & (F.col("_fence") >= 0)).select(*docs.columns)

@@ -40,11 +40,11 @@ def prepare(docs: DataFrame, plan: CorpusPlan = CorpusPlan()) -> Corpus:
     dropped = None
     kept = docs.select("doc_id", "text", "source")
     if plan.cutoffs is not None:
-        judged = quality.quality_reports(kept, plan.cutoffs)
+        judged = materialize(quality.quality_reports(kept, plan.cutoffs), "judged")
         dropped = judged.filter("not is_kept").drop("text")
         kept = judged.filter("is_kept").select("doc_id", "text", "source")
     if plan.duplicates is not None:
-        kept = materialize(kept, "quality-kept")
+        kept = kept if plan.cutoffs is not None else materialize(kept, "documents")
         ids = minhash.kept_ids(kept.select(F.col("doc_id").alias("id"), "text"), plan.duplicates)
         kept = kept.join(ids.select(F.col("id").alias("doc_id")), "doc_id", "left_semi")
     if plan.vocabulary is None:

@@ -5,13 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.runtime import spread
+
 #: White space as a character class in DuckDB's regular expressions, equal to text_rules.SPACE.
 WS = r"\x09-\x0d\x1c-\x20\x{85}\p{Z}"
 EOL = r"\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}"
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+    return spread(spark.read.parquet(f"{folder}/{name}.parquet"))
 
 
 def r6(c: Column | str) -> Column:

@@ -58,3 +58,13 @@ def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, bound: int = 64
     `rows` must have been counted, not guessed.  Beyond the bound the planner shuffles.
     """
     return F.broadcast(df) if rows * row_bytes <= bound else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """`df` dealt out over the cores where its scan would occupy less than half of them; unchanged otherwise.
+
+    A few unsplittable files would leave all later work on a few tasks.  Data large enough to fill the cluster has
+    more splits than cores and is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df._jdf.queryExecution().toRdd().getNumPartitions() <= cores else df
