@@ -88,5 +88,23 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (p1_found, p1_groups, p2_found, p2_labels, p3_found, p3_statistics, p4_found, p5_found, p5_report, p5_mix, p6_found, p6_scores)}
 
 
+_WORDS = "regexp_extract_all(lower(x), '[\\p{L}\\p{N}]+')"
+
+
+def _pairs_sql(tbl: str, key: str, text: str) -> str:
+    """All pairs of one field by exact counting of shared neighbouring words; quadratic in frequent pairs of words."""
+    return f"""SELECT '{tbl}' AS rec_table, a AS id_a, b AS id_b FROM (
+      WITH r AS (SELECT DISTINCT {key} AS id, {text} AS x FROM {tbl} WHERE {key} IS NOT NULL AND {text} IS NOT NULL), w AS (SELECT id, {_WORDS} AS w FROM r), l AS (SELECT * FROM w WHERE len(w) >= 30),
+      g AS (SELECT id, g, count(*) AS c FROM (SELECT id, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS g FROM l) GROUP BY ALL),
+      n AS (SELECT id, sum(c) AS n FROM g GROUP BY id), s AS (SELECT u.id AS a, v.id AS b, sum(least(u.c, v.c)) AS m FROM g u JOIN g v ON u.g = v.g AND u.id < v.id GROUP BY ALL)
+      SELECT a, b FROM s JOIN n x ON x.id = a JOIN n y ON y.id = b WHERE 2 * m >= 0.6 * (x.n + y.n))"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Exact counting for the pairs; sizes in characters stand in for tokens, as any tokenizer gives the same list."""
+    return {
+        "p1_found": " UNION ALL ".join(_pairs_sql(*x) for x in (("qa_pairs", "pair_id", "answer"), ("finetune_examples", "example_id", "context"), ("ngram_index", "entry_id", "excerpt"))),
+        "p5_found": """WITH t AS (SELECT lower(trim(source)) AS k, arg_max(source, updated_at) AS source, arg_max(target_share, updated_at) AS share, arg_max(max_repeats, updated_at) AS most FROM mix_targets WHERE source IS NOT NULL GROUP BY 1),
+          d AS (SELECT lower(trim(source)) AS k, sum(length(text)) AS n FROM documents WHERE lower(trim(source)) IN (SELECT k FROM t) GROUP BY 1)
+          SELECT source FROM t LEFT JOIN d USING (k) WHERE most * coalesce(n, 0) < share * (SELECT sum(n) FROM d)""",
+    }
