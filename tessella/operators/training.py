@@ -77,13 +77,19 @@ def tier_split(docs: DataFrame, val_split: float, seq_len: int, seed: int = SPLI
     Documents of a tier are taken in a hash order until the share is reached.  A tier of one document, or one that is
     shorter than a window, stays in training, and one document always does.
     """
-    order = Window.partitionBy("weight").orderBy("_key", "doc_id")
+    key = hash_order(F.col("doc_id"), seed=seed)
+    d = docs.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 3))
+    # sums of 4,096 cells of the hash order in each tier, so that no tier is ordered in one task
+    cells = d.groupBy("weight", "_cell").agg(F.sum("n_tokens").alias("t"), F.count("*").alias("c"))
+    before = Window.partitionBy("weight").orderBy("_cell").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy("weight")
-    d = docs.withColumn("_key", hash_order(F.col("doc_id"), seed=seed))
-    d = d.withColumn("_before", F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumn("_total", F.sum("n_tokens").over(whole)).withColumn("_n", F.count("*").over(whole)).withColumn("_i", F.row_number().over(order))
+    zero = F.lit(0)
+    base = cells.select("weight", "_cell", F.coalesce(F.sum("t").over(before), zero).alias("_t0"), F.coalesce(F.sum("c").over(before), zero).alias("_c0"), F.sum("t").over(whole).alias("_total"), F.sum("c").over(whole).alias("_n"))
+    order = Window.partitionBy("weight", "_cell").orderBy("_key", "doc_id")
+    d = d.join(base, ["weight", "_cell"])
+    d = d.withColumn("_before", F.col("_t0") + F.coalesce(F.sum("n_tokens").over(order.rowsBetween(Window.unboundedPreceding, -1)), zero)).withColumn("_i", F.col("_c0") + F.row_number().over(order))
     takes = (F.col("_total") >= seq_len + 1) & (F.col("_n") > 1) & (F.col("_before") < F.col("_total") * F.lit(val_split)) & (F.col("_i") < F.col("_n"))
-    return d.withColumn("is_val", takes).drop("_key", "_before", "_total", "_n", "_i")
+    return d.select(*docs.columns, takes.alias("is_val"))
 
 
 def exact_sample(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
@@ -171,16 +177,21 @@ def weighted_draws(rows: DataFrame, key: str, weight: str, n: int, seed: int = 0
 
 
 def grouped_batches(passages: DataFrame, per_doc: int, docs_per_batch: int, batches: int, seed: int = 0) -> DataFrame:
-    """(batch, doc_id, passage_id): batches of several passages of each of several documents, in hash orders.
+    """(batch, doc_id, passage_id): batches of several passages of each of several documents.
 
-    Documents with fewer than `per_doc` passages are left out; it is an error if none is left.
+    Documents are dealt to batches in a hash order, a new order once all have been dealt; the passages of a document
+    are taken in a hash order of their own.  Documents with fewer than `per_doc` passages are left out; without any
+    other the result is empty.
     """
     if per_doc < 2:
         raise ValueError("a batch needs two passages or more of a document")
-    rich = passages.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") >= per_doc).select("doc_id")
-    draws = rich.crossJoin(passages.sparkSession.range(batches).select(F.col("id").alias("batch")))  # a stated number of batches
-    order = Window.partitionBy("batch").orderBy(hash_order(F.col("doc_id"), F.col("batch"), seed=seed), "doc_id")
-    chosen = draws.withColumn("_i", F.row_number().over(order)).filter(F.col("_i") <= docs_per_batch).drop("_i")
+    rich = materialize(passages.groupBy("doc_id").agg(F.count("*").alias("n")).filter(F.col("n") >= per_doc).select("doc_id"), "rich-docs")
+    n = rich.count()
+    rounds = -(-batches * docs_per_batch // n) if n else 0
+    dealt = rich.withColumn("round", F.explode(F.sequence(F.lit(0), F.lit(max(rounds - 1, 0))))) if rounds > 1 else rich.withColumn("round", F.lit(0))
+    key = F.conv(F.substring(hash_order(F.col("doc_id"), F.col("round"), seed=seed), 1, 12), 16, 10).cast("double") / float(16**12) + F.col("round")
+    ranked = with_offsets(dealt.withColumn("_key", key).withColumn("_one", F.lit(1)), "_one", "_key")
+    chosen = ranked.withColumn("batch", F.floor(F.col("start_off") / docs_per_batch)).filter(F.col("batch") < batches).select("batch", "doc_id")
     inner = Window.partitionBy("batch", "doc_id").orderBy(hash_order(F.col("passage_id"), F.col("batch"), seed=seed), "passage_id")
     return chosen.join(passages, "doc_id").withColumn("_i", F.row_number().over(inner)).filter(F.col("_i") <= per_doc).select("batch", "doc_id", "passage_id")
 

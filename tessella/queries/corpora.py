@@ -150,21 +150,28 @@ def _shingle_sql(k: int, rows: str = "documents") -> str:
       x AS (SELECT id, sha1(g) AS d FROM s), h AS (SELECT DISTINCT id, CAST('0x' || {hexed} AS BIGINT) AS h FROM x)"""
 
 
-def _signature_sql(p: minhash.MinHash) -> str:
+def _signature_sql(p: minhash.MinHash, source: str = "documents") -> str:
     a, b = p.coefficients()
     rows = ", ".join(f"({i}, {int(x)}, {int(y)})" for i, (x, y) in enumerate(zip(a, b)))
-    return f"""{_shingle_sql(p.k)}, c(pos, a, b) AS (VALUES {rows}),
+    return f"""{_shingle_sql(p.k, source)}, c(pos, a, b) AS (VALUES {rows}),
       m AS (SELECT id, pos, min((CAST(a AS HUGEINT) * h + b) % 4294967296) AS v FROM h, c GROUP BY ALL)"""
 
 
-_BANDS = f"""{_signature_sql(DUPLICATES)},
+def bands_sql(source: str = "documents") -> str:
+    return f"""{_signature_sql(DUPLICATES, source)},
   bands AS (SELECT id, pos // {DUPLICATES.rows} AS band, string_agg(CAST(v AS VARCHAR), '-' ORDER BY pos) AS key FROM m GROUP BY ALL)"""
-_CLUSTERS = f"""{_BANDS},
+
+
+def clusters_sql(source: str = "documents") -> str:
+    return f"""{bands_sql(source)},
   pairs AS (SELECT DISTINCT x.id AS a, y.id AS b FROM bands x JOIN bands y ON x.band = y.band AND x.key = y.key AND x.id < y.id),
   good AS (SELECT a, b FROM pairs JOIN m u ON u.id = a JOIN m v ON v.id = b AND v.pos = u.pos GROUP BY a, b HAVING count(*) FILTER (u.v = v.v) / {DUPLICATES.permutations}.0 >= {DUPLICATES.threshold}),
   e AS (SELECT a, b FROM good UNION ALL SELECT b, a FROM good),
   r(id, other) AS (SELECT a, b FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.other),
   cl AS (SELECT id, least(id, min(other)) AS cluster_id FROM r GROUP BY id)"""
+
+
+_BANDS, _CLUSTERS = bands_sql(), clusters_sql()
 _TOKENS = "list_transform(list_filter(regexp_extract_all(text, '[A-Za-z0-9][A-Za-z0-9&\\-'']*'), lambda w: length(w) > 1), lambda w: lower(w))"
 _ENTRIES = "e AS (SELECT entry_id AS key, max(frequency) AS frequency, max(ngram) AS ngram FROM ngram_index WHERE ngram IS NOT NULL GROUP BY entry_id)"
 _NEAR = """n AS (SELECT q.vec_id AS query_id, v.vec_id AS id, v.label, list_sum(list_transform(range(1, len(q.embedding) + 1), lambda i: CAST(q.embedding[i] AS DOUBLE) * CAST(v.embedding[i] AS DOUBLE))) AS score

@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from tessella.functions.arithmetic import answer_arithmetic, replace_tool_tags
 from tessella.functions.cleaning import weight_by_glob
 from tessella.functions.text_rules import tokens
-from tessella.operators import answers, bpe, evaluation, guards, prompts, training
+from tessella.operators import answers, bpe, evaluation, guards, prompts, synthesis, training
 from tessella.operators.vectors import unit
 from tessella.plans import corpus
-from tessella.queries.base import WS, r6, sql_tokens, table
+from tessella.queries import corpora, texts
+from tessella.queries.base import WS, r6, sql_lines, sql_strip, sql_tokens, table
 from tessella.queries.texts import WEIGHTS
 from tessella.streaming import conversations
 
@@ -265,6 +266,28 @@ def prepared_corpus(spark: SparkSession, folder: str) -> DataFrame:
     return corpus.prepare(d, corpus.CorpusPlan(weights=WEIGHTS)).tokens.select("doc_id", "source", "weight", "n_tokens", "start_off", "end_off")
 
 
+SYNTHETIC = (["The {who} guards the {what}.", "A {what} was lost by the {who}.", "No {who} fears a {what}."], {"who": ["keeper", "smith", "pilot"], "what": ["gate", "lamp", "map", "coin"]})
+
+
+def synthetic_texts(spark: SparkSession, folder: str) -> DataFrame:
+    return synthesis.template_texts(spark, 3000, *SYNTHETIC, seed=4)
+
+
+def validated_examples(spark: SparkSession, folder: str) -> DataFrame:
+    user, reply = F.coalesce("user_text", "prompt"), F.when(F.col("user_text").isNull(), F.col("response")).otherwise(F.col("assistant"))
+    error = F.when(F.coalesce(user, F.lit("")) == "", "no user").when(F.coalesce(reply, F.lit("")) == "", "no assistant")
+    d = table(spark, folder, "finetune_examples").select(user.alias("user"), reply.alias("assistant"), error.alias("error"))
+    got = synthesis.validation_summary(d, F.length("user") + F.length("assistant"), 400)
+    return got.withColumn("mean", r6("mean"))
+
+
+def window_neighbours(spark: SparkSession, folder: str) -> DataFrame:
+    e = table(spark, folder, "ngram_index").filter("excerpt is not null").groupBy("entry_id").agg(F.min("excerpt").alias("excerpt"))
+    slot = F.row_number().over(Window.partitionBy("query_id").orderBy("entry_id"))
+    d = e.select((F.col("entry_id") / 3).cast("bigint").alias("query_id"), "entry_id", F.transform(tokens(F.col("excerpt")), lambda w: F.length(w)).alias("ids")).withColumn("slot", slot).filter("slot <= 2")
+    return synthesis.collate_neighbours(d, 2, 12).select("query_id", F.array_join(F.flatten("neighbours"), " ").alias("ids"))
+
+
 def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
     e = table(spark, folder, "embeddings").select("vec_id", unit(F.transform("embedding", lambda x: x * 3)).alias("u"))
     return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
@@ -289,7 +312,7 @@ def streamed_activity(spark: SparkSession, folder: str) -> DataFrame:
     return got.select(F.col("window.start").cast("string").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-QUERIES = [doc_offsets, window_offsets, window_weights, block_split, tier_split, exact_sample, example_split, weighted_draws, padded_batches, right_padded, shifted_targets, chat_examples, difficulty_weights, schedules, grouped_batches, weight_histogram, length_summary, tier_losses, loss_summary, smoothed_losses, keyword_recall, hit_rate, window_f1, qa_parsed, qa_filtered, qa_ranked, qa_context, qa_finetune, qa_blocks, template_examples, entity_pairs, history_pack, role_messages, conversation_prompts, generation_hints, loop_guards, value_prefixes, logit_filters, arithmetic, tool_tags, bpe_tokens, pair_counts, prepared_corpus, unit_vectors, streamed_activity]
+QUERIES = [doc_offsets, window_offsets, window_weights, block_split, tier_split, exact_sample, example_split, weighted_draws, padded_batches, right_padded, shifted_targets, chat_examples, difficulty_weights, schedules, grouped_batches, weight_histogram, length_summary, tier_losses, loss_summary, smoothed_losses, keyword_recall, hit_rate, window_f1, qa_parsed, qa_filtered, qa_ranked, qa_context, qa_finetune, qa_blocks, template_examples, entity_pairs, history_pack, role_messages, conversation_prompts, generation_hints, loop_guards, value_prefixes, logit_filters, arithmetic, tool_tags, bpe_tokens, pair_counts, prepared_corpus, unit_vectors, synthetic_texts, validated_examples, window_neighbours, streamed_activity]
 
 _N = f"len({sql_tokens("coalesce(text, '')")}) + 1"
 _W = "CAST(CASE WHEN starts_with(s, 'rules_') THEN 1.75 WHEN ends_with(s, '_qa') THEN 0.5 WHEN regexp_matches(s, '^home.rew_') THEN 1.25 WHEN regexp_matches(s, '^[mp]') THEN 0.75 ELSE 1.0 END AS DOUBLE)"
@@ -313,7 +336,8 @@ def _lead_sql(x: str, n: int) -> str:
 
 _FRAMING = r"(?i)\b(i\s+(think|believe|guess)|in\s+my\s+opinion|as\s+far\s+as\s+i\s+know|correct\s+me\s+if|i''?m\s+not\s+sure|edit\s*:|update\s*:|related\s*:|see\s+also|possible\s+duplicate|welcome\s+to|thanks?\s+for|[a-z][a-z0-9_.-]{2,20}\s+(mentioned|said|wrote|noted|pointed\s+out|answered)|as\s+\S+\s+(mentioned|noted|said)|\b(the|this|your)\s+question\b|you\s+(asked|mean)\b|\bOP\b)"
 _CTX = "k AS (SELECT *, row_number() OVER (PARTITION BY question_id ORDER BY CASE WHEN coalesce(accepted, false) THEN 2 WHEN answer_score IS NOT NULL THEN 1 ELSE 0 END DESC, CASE WHEN coalesce(accepted, false) THEN 0 ELSE coalesce(answer_score, 0) END DESC, pair_id) AS place FROM p), c AS (SELECT a.*, x.pair_id AS context_id, x.answer AS context_answer FROM k a LEFT JOIN k x ON x.question_id = a.question_id AND x.place = CASE WHEN a.place = 1 THEN 2 ELSE 1 END)"
-_LINES = "string_split(replace(replace(coalesce(text, ''), chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10))"
+_PYLINES = sql_lines("text")
+_ANS = r"^##\s+Answer\s*(\(accepted\))?\s*\(score:\s*-?[0-9]+\)\s*$"
 
 SQL = {
     "doc_offsets": f"WITH {_SIZED} SELECT doc_id, start_off, end_off FROM l",
@@ -338,8 +362,9 @@ SQL = {
     "schedules": """WITH d AS (SELECT o_orderkey, CAST(o_orderkey AS BIGINT) AS n, CAST(o_orderkey % 10000 AS DOUBLE) AS s, o_orderkey % 1000 AS k FROM orders)
       SELECT o_orderkey, round(CASE WHEN s < 500 THEN s / 500.0 ELSE 0.1 + 0.9 * 0.5 * (1.0 + cos(pi() * ((s - 500) / 9500.0))) END * 3e-4 * 1e6, 4) AS rate, CASE WHEN n * 100000 < 100000000 THEN 'small-25M' WHEN n * 100000 < 500000000 THEN 'medium-85M' ELSE 'large-250M' END AS preset,
       CAST(round(20.0 * n * 1000 / 32768.0) AS BIGINT) AS steps, CAST(greatest(round(k * CASE WHEN k <= 20 THEN 2 WHEN k <= 100 THEN 3 WHEN k <= 500 THEN 4 ELSE 6 END / 16.0), 1.0) AS BIGINT) AS tuning_steps, CAST(CASE WHEN k <= 20 THEN 4 WHEN k <= 100 THEN 6 WHEN k <= 500 THEN 8 ELSE 12 END AS INT) AS adapter_epochs FROM d""",
-    "grouped_batches": """WITH p AS (SELECT DISTINCT question_id AS doc_id, pair_id AS passage_id FROM qa_pairs), r AS (SELECT doc_id FROM p GROUP BY doc_id HAVING count(*) >= 2), b AS (SELECT doc_id, i AS batch, row_number() OVER (PARTITION BY i ORDER BY md5(doc_id || '|' || i || '|1'), doc_id) AS n FROM r, range(25) t(i)),
-      q AS (SELECT batch, doc_id, passage_id, row_number() OVER (PARTITION BY batch, doc_id ORDER BY md5(passage_id || '|' || batch || '|1'), passage_id) AS k FROM b JOIN p USING (doc_id) WHERE n <= 4) SELECT batch, doc_id, passage_id FROM q WHERE k <= 2""",
+    "grouped_batches": """WITH p AS (SELECT DISTINCT question_id AS doc_id, pair_id AS passage_id FROM qa_pairs), r AS (SELECT doc_id, count(*) OVER () AS n FROM p GROUP BY doc_id HAVING count(*) >= 2),
+      k AS (SELECT doc_id, i, CAST('0x' || substr(md5(doc_id || '|' || i || '|1'), 1, 12) AS BIGINT) / 281474976710656.0 + i AS key FROM r, range(100) t(i) WHERE i < ceil(100.0 / n)), b AS (SELECT doc_id, (row_number() OVER (ORDER BY key) - 1) // 4 AS batch FROM k),
+      q AS (SELECT batch, doc_id, passage_id, row_number() OVER (PARTITION BY batch, doc_id ORDER BY md5(passage_id || '|' || batch || '|1'), passage_id) AS k FROM b JOIN p USING (doc_id) WHERE batch < 25) SELECT CAST(batch AS BIGINT) AS batch, doc_id, passage_id FROM q WHERE k <= 2""",
     "weight_histogram": f"WITH {_SIZED} SELECT weight, count(*) AS n, round(100.0 * count(*) / CAST((SELECT count(*) FROM z) AS DOUBLE), 6) AS percent FROM z GROUP BY weight",
     "length_summary": f"WITH {_SIZED} SELECT count(*) AS n, min(n_tokens) AS shortest, max(n_tokens) AS longest, round(avg(n_tokens), 6) AS mean, count(*) FILTER (n_tokens > 512) AS truncated FROM z",
     "tier_losses": "WITH d AS (SELECT l_returnflag, l_tax + l_discount AS l, l_quantity AS q FROM lineitem) SELECT l_returnflag, sum(q) AS n, round(sum(l * q) / sum(q), 6) AS mean_loss, round((SELECT sum(l * q) / sum(q) FROM d), 6) AS overall_loss FROM d GROUP BY l_returnflag",
@@ -369,5 +394,26 @@ SQL = {
       SELECT p_partkey, v = '' OR (regexp_matches(v, '^[0-9]+$') AND length(v) <= 3 AND coalesce(TRY_CAST(v AS BIGINT) <= 300, true)) AS bounded, v = '' OR regexp_matches(v, '^[0-9]{1,3}(,[0-9]{0,3})*$') AS grouped,
       len(list_filter(list_concat(['0', '1/8', '1/4', '1/2'], list_transform(range(1, 31), lambda i: CAST(i AS VARCHAR))), lambda x: starts_with(x, v))) > 0 AS rating FROM p""",
     "pair_counts": f"""WITH w AS (SELECT w, count(*) AS n FROM (SELECT unnest({sql_tokens("lower(coalesce(text, ''))")}) AS w FROM documents) GROUP BY w), p AS (SELECT unnest(range(1, length(w))) AS i, w, n FROM w) SELECT substr(w, i, 1) AS left_symbol, substr(w, i + 1, 1) AS right_symbol, CAST(sum(n) AS BIGINT) AS n FROM p GROUP BY ALL""",
+    "synthetic_texts": f"""WITH d AS (SELECT CAST(i AS BIGINT) AS id, {SYNTHETIC[0]}[i % 3 + 1] AS t, {SYNTHETIC[1]["who"]}[CAST('0x' || substr(md5(i || '|who|4'), 1, 8) AS BIGINT) % 3 + 1] AS who, {SYNTHETIC[1]["what"]}[CAST('0x' || substr(md5(i || '|what|4'), 1, 8) AS BIGINT) % 4 + 1] AS what FROM range(3000) r(i))
+      SELECT id, replace(replace(t, '{{who}}', who), '{{what}}', what) AS text FROM d""",
+    "validated_examples": """WITH d AS (SELECT coalesce(user_text, prompt, '') AS u, coalesce(CASE WHEN user_text IS NULL THEN response ELSE assistant END, '') AS a FROM finetune_examples), n AS (SELECT u, a, CASE WHEN u <> '' AND a <> '' THEN length(u) + length(a) END AS n FROM d)
+      SELECT count(n) AS n_valid, CAST(0 AS BIGINT) AS n_not_json, count(*) - count(n) AS n_incomplete, CAST(min(n) AS INT) AS shortest, CAST(max(n) AS INT) AS longest, round(avg(n), 6) AS mean, count(*) FILTER (n > 400) AS n_truncated FROM n""",
+    "window_neighbours": f"""WITH e AS (SELECT entry_id, min(excerpt) AS x FROM ngram_index WHERE excerpt IS NOT NULL GROUP BY entry_id), s AS (SELECT entry_id // 3 AS query_id, {_LEN("x", 0)} AS ids, row_number() OVER (PARTITION BY entry_id // 3 ORDER BY entry_id) AS k FROM e),
+      f AS (SELECT query_id, k, array_to_string(ids[1:12], ' ') || repeat(' 0', greatest(12 - len(ids), 0)) AS t FROM s WHERE k <= 2) SELECT query_id, string_agg(t, ' ' ORDER BY k) || CASE WHEN count(*) = 1 THEN repeat(' 0', 12) ELSE '' END AS ids FROM f GROUP BY query_id""",
+    "qa_parsed": f"""WITH l AS (SELECT doc_id, unnest({_PYLINES}) AS x, generate_subscripts({_PYLINES}, 1) AS i FROM documents WHERE contains(text, '## Answer')),
+      k AS (SELECT *, regexp_matches(x, '{_ANS}') AS ans, NOT starts_with(x, '##') AND regexp_matches(x, '^#[{WS}]+[^\n]') AND NOT regexp_matches(x, '{_ANS}') AS head, {sql_strip('x')} = '---' AS rule FROM l),
+      b AS (SELECT *, sum(CAST(ans OR head OR rule AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS part, last_value(CASE WHEN head THEN {sql_strip("x[2:]")} END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i) AS title FROM k),
+      g AS (SELECT doc_id, part, any_value(title) AS title, bool_or(ans) AS is_answer, any_value(CASE WHEN ans THEN x END) AS h, string_agg(CASE WHEN NOT ans THEN x END, chr(10) ORDER BY i) AS body FROM b GROUP BY doc_id, part),
+      f AS (SELECT *, {sql_strip("coalesce(body, '')")} AS answer FROM g WHERE is_answer AND title <> '')
+      SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INT) AS answer_no, title AS question, answer, CAST(regexp_extract(h, 'score:\\s*(-?[0-9]+)', 1) AS BIGINT) AS answer_score, contains(h, '(accepted)') AS accepted FROM f WHERE answer <> ''""",
+    "streamed_activity": "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
+    "arithmetic": "SELECT p_partkey, p_size || ' * (' || p_partkey || ' + 2) = ' || (p_size * (p_partkey + 2)) AS answer FROM part",
+    "logit_filters": """WITH x AS (SELECT vec_id, unnest(list_transform(embedding[1:12], lambda v: CAST(v AS DOUBLE) * 10)) AS x, unnest(range(12)) AS i FROM embeddings), m AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM x),
+      q AS (SELECT *, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) AS q FROM m), c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before, max(CASE WHEN r = 5 THEN x END) OVER (PARTITION BY vec_id) AS fifth FROM q)
+      SELECT vec_id, CAST(count(*) FILTER (x >= fifth) AS INT) AS top_k, CAST(count(*) FILTER (before <= 0.9) AS INT) AS top_p, round(0.5 + 0.8 * (1.0 - least(greatest(-sum(q * ln(q + 1e-12)) / ln(12.0), 0.0), 1.0)), 4) AS temperature FROM c GROUP BY vec_id""",
+    "prepared_corpus": f"""WITH RECURSIVE kd AS (WITH {texts._QUALITY} SELECT doc_id, coalesce(text, '') AS text, source FROM documents WHERE doc_id IN (SELECT doc_id FROM v WHERE n_reasons = 0)),
+      {corpora.clusters_sql('kd')}, k AS (SELECT cl.id, row_number() OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, cl.id) AS r FROM cl JOIN kd ON kd.doc_id = cl.id),
+      z AS (SELECT doc_id, source, CAST({_N.replace("coalesce(text, '')", 'text')} AS BIGINT) AS n_tokens, {_W.replace('(s,', "(coalesce(source, ''),")} AS weight FROM kd WHERE doc_id NOT IN (SELECT id FROM k WHERE r > 1)), o AS (SELECT *, CAST(sum(n_tokens) OVER (ORDER BY doc_id) AS BIGINT) AS end_off FROM z)
+      SELECT doc_id, source, weight, n_tokens, end_off - n_tokens AS start_off, end_off FROM o""",
     "unit_vectors": "SELECT vec_id, CAST(1.0 AS DOUBLE) AS length FROM embeddings",
 }

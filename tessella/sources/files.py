@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.cleaning import Cleaning, clean, strip_markdown
 from tessella.functions.html_text import page_text
+from tessella.runtime import broadcast_if_small, materialize
 
 _word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _sheet = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -124,13 +125,15 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
         return pd.DataFrame({"text": texts, "error": errors})
 
     name = F.element_at(F.split("path", "/"), -1)
-    d = found.withColumn("ending", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))).filter(F.col("ending").isin(list(extractors)))
-    d = d.withColumn("_stem", F.regexp_replace(name, r"\.[^.]+$", "")).withColumn("r", extract("content", "ending"))
-    raw = F.when(F.col("ending").isin(list(MARKDOWN)), strip_markdown(F.col("r.text"))).otherwise(F.col("r.text"))
+    listed = found.select("path", "input", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ending"), F.regexp_replace(name, r"\.[^.]+$", "").alias("_stem")).filter(F.col("ending").isin(list(extractors)))
+    listed = materialize(listed, "file-names")
     twin = F.row_number().over(Window.partitionBy("_stem").orderBy("input", "path"))
-    d = d.withColumn("stem", F.when(twin == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "ending")))
-    order = F.row_number().over(Window.orderBy("input", "path")) - 1  # over names of files, not their contents
-    return d.select("path", "stem", "ending", clean(raw, level).alias("text"), F.col("r.error").alias("error"), order.alias("doc_idx"))
+    order = F.row_number().over(Window.orderBy("input", "path")) - 1  # names only; contents never meet in one task
+    listed = listed.select("path", "input", "ending", F.when(twin == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "ending")).alias("stem"), order.alias("doc_idx"))
+    listed = broadcast_if_small(listed, listed.count(), 400)
+    d = found.join(listed, ["path", "input"]).withColumn("r", extract("content", "ending"))
+    raw = F.when(F.col("ending").isin(list(MARKDOWN)), strip_markdown(F.col("r.text"))).otherwise(F.col("r.text"))
+    return d.select("path", "stem", "ending", clean(raw, level).alias("text"), F.col("r.error").alias("error"), "doc_idx")
 
 
 def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
@@ -144,4 +147,5 @@ def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out.withColumn("doc_idx", F.row_number().over(Window.orderBy("input", "path")) - 1).drop("input")
+    listed = materialize(out.select("path", "input"), "file-names").withColumn("doc_idx", F.row_number().over(Window.orderBy("input", "path")) - 1)
+    return out.join(broadcast_if_small(listed, listed.count(), 400), ["path", "input"]).drop("input")

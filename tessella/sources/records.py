@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import fnmatch
+import io
+import json
+import zipfile
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -145,3 +151,33 @@ def kept_sections(parts: DataFrame, openings: list[str]) -> DataFrame:
     for o in openings:
         keep = keep | words.startswith(o)
     return parts.filter(keep)
+
+
+def read_zipped_json(spark: SparkSession, path: str, pattern: str) -> DataFrame:
+    """(archive, member, entry): the entries of JSON members of zip archives whose name fits the glob, as JSON texts.
+
+    A member is a list of entries, or an object whose lists hold them.  Broken archives and members give no entries.
+    """
+
+    @F.pandas_udf("array<struct<member:string,entry:string>>")
+    def entries(contents: pd.Series) -> pd.Series:
+        out = []
+        for data in contents:
+            rows = []
+            try:
+                with zipfile.ZipFile(io.BytesIO(data)) as z:
+                    for name in sorted(z.namelist()):
+                        if fnmatch.fnmatchcase(name, pattern):
+                            try:
+                                held = json.loads(z.read(name))
+                            except ValueError:
+                                continue
+                            lists = [held] if isinstance(held, list) else [v for v in held.values() if isinstance(v, list)] if isinstance(held, dict) else []
+                            rows += [{"member": name, "entry": json.dumps(e, ensure_ascii=False)} for many in lists for e in many]
+            except zipfile.BadZipFile:
+                pass
+            out.append(rows)
+        return pd.Series(out)
+
+    files = spark.read.format("binaryFile").load(path)
+    return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), F.explode(entries("content")).alias("e")).select("archive", "e.member", "e.entry")

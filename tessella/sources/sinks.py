@@ -7,6 +7,8 @@ import json
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.training import with_offsets
+
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
     """Token rows with offsets and weights as columns; a job either commits whole or not at all."""
@@ -19,9 +21,12 @@ def write_dropped(reports: DataFrame, path: str) -> None:
 
 
 def chunked(records: DataFrame, per_file: int, order: str, within: str | None = None) -> DataFrame:
-    """`records` with `file_no`: N consecutive records to a file, within each value of `within`."""
-    w = Window.partitionBy(within).orderBy(order) if within else Window.orderBy(order)
-    return records.withColumn("file_no", F.floor((F.row_number().over(w) - 1) / per_file).cast("int"))
+    """`records` with `file_no`: N consecutive records to a file by a numeric order, or within each value of `within`."""
+    if within is None:
+        numbered = with_offsets(records.withColumn("_one", F.lit(1)), "_one", order).withColumn("_i", F.col("start_off"))
+    else:
+        numbered = records.withColumn("_i", F.row_number().over(Window.partitionBy(within).orderBy(order)) - 1)
+    return numbered.select(*records.columns, F.floor(F.col("_i") / per_file).cast("int").alias("file_no"))
 
 
 def write_chunks(records: DataFrame, text: str, per_file: int, order: str, path: str, prefix: str) -> None:
