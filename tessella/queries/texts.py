@@ -115,7 +115,7 @@ def html_text(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def game_tags(spark: SparkSession, folder: str) -> DataFrame:
-    tagged = F.concat(F.lit("{@atk mw,rw} {@hit "), (F.col("doc_id") % 12).cast("string"), F.lit("} {@scaledamage 1d6|2|3d6} {@creature "), F.coalesce("source", F.lit("")), F.lit("|mm} "), F.substring("text", 1, 80))
+    tagged = F.concat(F.lit("{@atk mw,rw} {@hit "), (F.col("doc_id") % 12).cast("string"), F.lit("} {@scaledamage 1d6|2|3d6} {@creature "), F.coalesce("source", F.lit("")), F.lit("|mm} "), "text")
     return _docs(spark, folder).select("doc_id", resolve_tags(tagged).alias("plain"))
 
 

@@ -124,3 +124,13 @@ def test_quality(spark):
     assert got[0].top_ngram_repetition_ratio == pytest.approx(4 / 94)
     assert [r.doc_id for r in rows(quality.kept_documents(df))] == [0]
     assert one(quality.quality_reports(df.limit(0)).agg(F.count("*"))) == 0
+
+
+def test_game_tags_takes_whole_texts(spark, tmp_path):
+    from tessella.queries.texts import game_tags
+
+    texts = ["word " * 400 + "{@dc 15} and {@item rope|phb}", "{@h}" + "x" * 5000 + "{@chance 30}\nend {@damage 2d6}", "no tag", None]
+    spark.createDataFrame([(i, x, "s", "f") for i, x in enumerate(texts)], "doc_id long, text string, source string, file_name string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.plain for r in game_tags(spark, str(tmp_path)).collect()}
+    plain = ["word " * 400 + "DC 15 and rope", "Hit: " + "x" * 5000 + "30%\nend 2d6", "no tag", ""]
+    assert got == {i: f"Melee Weapon Attack: or Ranged Weapon Attack: +{i} 3d6 s {x}" for i, x in enumerate(plain)}
