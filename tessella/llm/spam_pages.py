@@ -80,6 +80,30 @@ def _link_spans(text: str) -> tuple[list[tuple[int, int]], int]:
     return spans, len(links)
 
 
+def may_hold_units(text: str) -> bool:
+    """False only where `spam_share` is 0: no bare link entry, hashtag or pair of plain words often enough, and nothing commercial.
+
+    Pairs are counted here wherever they stand, so no chain that `spam_share` finds can be missed.
+    """
+    if "#" in text and _HASHTAG.search(text):
+        return True
+    if any(x in text for x in ("http", "www.", "<a", "[url=")) and _link_spans(text)[0]:
+        return True
+    words = list(map(str.lower, _WORD.findall(text)))
+    n = len(words)
+    counts = Counter(words)
+    if sum(counts[w] for w in COMMERCE & counts.keys()) / max(1, n) >= 0.04:
+        return True
+    if any(x in text for x in ("$", "€", "£", "EUR", "USD")) and len(_PRICE.findall(text)) >= 3:
+        return True
+    least = max(3, n // 60)
+    often = {w for w, c in counts.items() if c >= least and w not in ALL_FUNCTION_WORDS and len(w) > 1 and w.isalpha()}
+    if not often:
+        return False
+    pairs = Counter([p for p in zip(words, words[1:]) if p[0] in often and p[1] in often])
+    return any(c >= least for c in pairs.values())
+
+
 def spam_share(text: str) -> float:
     """Share of the words that stand in keyword strings, hashtags, product labels or bare link entries."""
     words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
