@@ -52,7 +52,7 @@ _DECLINE = re.compile(
     r"|\b(ich )?kann (ich |dir |ihnen |euch |dabei |dazu |darauf |das |diese frage ){0,3}(leider )?(nicht|keine)\b.{0,40}\b(helfen|beantworten|antworten|sagen|auskunft)|\bmöchte ich (lieber )?nicht\b|\bmuss (ich )?ablehnen\b|\bmeine (richtlinien|vorgaben)\b"
 )
 #: Every way to decline holds one of these.
-_TRIGGER = re.compile(r"can'?t|cannot|can not|could|won'?t|will|unable|able to|allowed|permitted|going to|comfortable|want to|declin|refuse|pass on|rather not|guidelines|appropriate|no (?:response|answer|information|help|comment|advice|detail)|puedo|posible|condiciones|prefiero|directrices|normas|peux|puis|préfère|dois|directives|consignes|kann|möchte|muss|richtlinien|vorgaben")
+_TRIGGER = re.compile(r"can'?t|something i can|have to pass|cannot|can not|could|won'?t|will|unable|able to|allowed|permitted|going to|comfortable|want to|declin|refuse|pass on|rather not|guidelines|appropriate|no (?:response|answer|information|help|comment|advice|detail)|puedo|posible|condiciones|prefiero|directrices|normas|peux|puis|préfère|dois|directives|consignes|kann|möchte|muss|richtlinien|vorgaben")
 _HEDGE = re.compile(r"\b(stress|emphasi[sz]e|recommend|quote|go into|allow it|do that twice|thank|wait|imagine|believe|think of)\b")
 _COURTESY = re.compile(
     r"^(sorry|apologies|unfortunately|i'?m sorry|i apologi[sz]e|i understand( the question)?|as an? (ai|assistant|language model)[a-z ]*|please|try|ask|talk to|see|consult|contact|perhaps|maybe|you (may|might|could|should)|is there|that is (a|my)|thank|thanks|good luck|"
@@ -100,6 +100,39 @@ def _close(a: str, b: str) -> bool:
     return a[i + 1 :] == b[i:] or a[i:] == b[i + 1 :] or a[i + 1 :] == b[i + 1 :] or (a[i : i + 2] == b[i : i + 2][::-1] and a[i + 2 :] == b[i + 2 :])
 
 
+def _edit_keys(word: str) -> list[str | tuple[int, str, bool]]:
+    """Keys of which two words that are `_close` have one in common: the word less a letter or, if long, its halves."""
+    n = len(word)
+    keys: list[str | tuple[int, str, bool]] = []
+    if n <= 41:
+        keys += [word, *(word[:i] + word[i + 1 :] for i in range(n))]
+    if n >= 41:  # one edit or swap leaves a half of the shorter word as it is
+        for h in ((n - 2) // 2, (n - 1) // 2):
+            keys += [(h, word[:h], False), (h, word[-h:], True)]
+    return keys
+
+
+def _matched(left: Counter, extra: list[str]) -> tuple[int, list[str]]:
+    """Number of `extra` words that are misspelt ones of `left`, each taken once and the first one first; the others."""
+    words = [w for w, c in left.items() if c > 0]
+    rest = {w: left[w] for w in words}
+    at: dict[object, list[int]] = {}
+    for i, w in enumerate(words):
+        for key in set(_edit_keys(w)):
+            at.setdefault(key, []).append(i)
+    sizes = {len(w) + d for w in words for d in (-1, 0, 1)}
+    met, over = 0, []
+    for w in extra:
+        near = {i for key in _edit_keys(w) for i in at.get(key, ())} if len(w) in sizes and met < left.total() else ()
+        twin = next((i for i in sorted(near) if rest[words[i]] and _close(w, words[i])), None)
+        if twin is None:
+            over.append(w)
+        else:
+            rest[words[twin]] -= 1
+            met += 1
+    return met, over
+
+
 def overlap(question: list[str], reply: list[str]) -> tuple[float, int]:
     """Share of the question's words met in the reply, and the number of reply words that aren't the question's."""
     have = Counter(question)
@@ -110,51 +143,60 @@ def overlap(question: list[str], reply: list[str]) -> tuple[float, int]:
             met += 1
         else:
             extra.append(w)
-    if met < 0.35 * len(question):  # misspellings alone can't make up for that
-        return met / max(1, len(question)), sum(w not in have for w in extra)
-    left = list(have.elements())
-    over = []
-    for w in extra:
-        twin = next((x for x in left if _close(w, x)), None) if len(left) < 12 and len(extra) < 40 else None
-        if twin is not None:
-            left.remove(twin)
-            met += 1
-        else:
-            over.append(w)
-    asked = set(question)
-    repeats = sum(w in asked for w in over)
-    return met / max(1, len(question)), len(over) - repeats
+    own = sum(w not in have for w in extra)
+    # misspellings alone can't make up for few words met; a reply of mostly its own words is no copy, whatever is misspelt
+    if met < 0.35 * len(question) or own - have.total() > _most_own(question):
+        return met / max(1, len(question)), own
+    more, over = _matched(have, extra)
+    return (met + more) / max(1, len(question)), sum(w not in have for w in over)
+
+
+def _most_own(question: list[str]) -> int:
+    """Most words of its own that a reply may have besides the question's to be judged as a copy at all."""
+    return 3 * len(question) + 12
 
 
 def copied_votes(question: str | None, reply: str | None, q: list[str], r: list[str]) -> tuple[int, ...]:
     if not q or not r:
         return (NONE, NO if r else NONE, NONE, NO if r else NONE)
-    if len(r) > 3 * len(q) + 12:
-        return (NO, NO, NONE, NO)
     share, extra = overlap(q, r)
+    if round(share * len(q)) + extra > _most_own(q):
+        return (NO, NO, NONE, NO)
     asks = (reply or "").rstrip(" \"”’'*_>)]\n").endswith("?")
     return (
         YES if share >= 0.75 else NO,
         YES if extra <= max(3, 0.25 * len(q)) and share >= 0.5 else NO,
         YES if asks and share >= 0.5 else NONE,
-        YES if share >= 0.6 and extra <= 5 and len(r) <= 2.6 * len(q) + 6 else NO,
+        YES if share >= 0.6 and extra <= 5 else NO,
     )
 
 
-def refusal_votes(reply: str | None, r: list[str]) -> tuple[int, ...]:
+def _restates(sentence: str, asked: set[str]) -> bool:
+    """Whether at least four in five words of the sentence are the question's."""
+    words = _WORDS.findall(sentence)
+    return 5 * sum(w in asked for w in words) >= 4 * len(words)
+
+
+def refusal_votes(reply: str | None, r: list[str], q: list[str] | tuple[str, ...] = ()) -> tuple[int, ...]:
+    """Every sentence is judged; those that give the question back answer nothing and don't count as the reply's words."""
     if not r:
         return (NONE,) * 4
     text = (reply or "").replace("’", "'").lower()
-    if not _TRIGGER.search(text, 0, 600):
-        return (NO, NO if len(r) >= 4 else NONE, NO if len(r) > 45 or not _FIRST_PERSON.search(text, 0, 400) else NONE, NO)
-    sentences = [s for s in _SENTENCE.split(text.strip()) if s and _WORDS.search(s)]
-    declines = [bool(_DECLINE.search(s)) and not _HEDGE.search(s) for s in sentences]
+    long = len(r) > 45
+    sentences = [s for s in _SENTENCE.split(text.strip()) if s and _WORDS.search(s)] if _TRIGGER.search(text) else []
+    declines = [bool(_TRIGGER.search(s) and _DECLINE.search(s)) and not _HEDGE.search(s) for s in sentences]
+    if not sentences:
+        return (NO, NO if len(r) >= 4 else NONE, NO if long or not _FIRST_PERSON.search(text) else NONE, NO)
     answers = [s for s, d in zip(sentences, declines) if not d and not _COURTESY.match(s.strip(" \"'“*_>-")) and len(s.split()) >= 4]
-    any_decline = any(declines[:3])
+    any_decline = any(declines)
+    if any_decline and q:
+        asked = set(q)
+        answers = [s for s in answers if not _restates(s, asked)]
+        long = sum(len(_WORDS.findall(s)) for s, d in zip(sentences, declines) if d or not _restates(s, asked)) > 45 if long else False
     return (
         YES if any_decline else NO,
         (NO if answers else YES) if any_decline else NO if answers else NONE,
-        YES if any_decline and len(r) <= 45 else NO if len(r) > 45 or not _FIRST_PERSON.search(text[:400]) and "guidelines" not in text else NONE,
+        YES if any_decline and not long else NO if long or not _FIRST_PERSON.search(text) and "guidelines" not in text else NONE,
         YES if any_decline and not answers else NO,
     )
 
@@ -229,7 +271,7 @@ def votes(question: str | None, reply: str | None) -> tuple[tuple[int, ...], ...
     """The votes for each of DEFECTS."""
     seen, asked = visible(reply), visible(question)
     q, r = _WORDS.findall(asked.lower()), _WORDS.findall(seen.lower())
-    return (empty_votes(seen, r), copied_votes(question, seen, q, r), refusal_votes(seen, r), language_votes(asked, seen), truncated_votes(reply, r))
+    return (empty_votes(seen, r), copied_votes(question, seen, q, r), refusal_votes(seen, r, q), language_votes(asked, seen), truncated_votes(reply, r))
 
 
 WIDTHS = tuple(len(v) for v in votes("a", "b"))

@@ -1,6 +1,6 @@
 import pytest
 
-from tessella.llm.reply_defects import CUTOFFS, DEFECTS, LabelModel, defects, labels, votes
+from tessella.llm.reply_defects import CUTOFFS, DEFECTS, LabelModel, _close, _matched, defects, labels, votes
 
 Q = "How does the silver gate interact with the lower tower of the harbor?"
 DE = "Wie funktioniert das Tor, wenn der Wächter nicht auf der Mauer ist?"
@@ -86,3 +86,39 @@ def test_model_separates_planted_classes():
     model = LabelModel(4).fit(counts)
     assert 0.03 < model.prior < 0.08
     assert model.posteriors()[((1 * 3 + 1) * 3 + 1) * 3 + 1] > 0.99 and model.posteriors()[((2 * 3 + 2) * 3 + 2) * 3 + 2] < 0.01
+
+
+LONG = "At dusk the silver gate of the lower tower stands open while " + " and ".join(f"the keeper of lamp {w} waits near wall {w}" for w in "amber basin cedar delta ember fjord grove haven inlet jetty knoll lodge manor niche oasis".split()) + ", so how does the gate close?"
+LATE = [
+    (LONG, LONG + " I can't help with that.", "refusal"),
+    (Q, "Thank you for asking this question here. I understand the question. Please bear with me for a moment. Perhaps this is not what you hoped for. I can't help with that.", "refusal"),
+    ("Where is the gate?", "Where is the gate? " * 5, "copied"),
+    (LONG, LONG.replace("keeper", "keper").replace("lamp", "lampp").replace("near", "naer"), "copied"),
+    (Q, GOOD * 10 + " I can't help with the lower tower.", None),
+    (Q, "How does the silver gate interact with the lower tower of the harbor? " + GOOD * 6, None),
+]
+
+
+def test_late_refusals_and_long_copies(spark):
+    rows = [("t", i, q, r) for i, (q, r, _) in enumerate(LABELLED + LATE)] + [("t", 1000 + i, Q, GOOD + f" It took {i} days.") for i in range(1500)]
+    got = {r.id: r.defect for r in defects(spark.createDataFrame(rows, "tbl string, id long, question string, reply string")).collect()}
+    assert [got.get(len(LABELLED) + i) for i in range(len(LATE))] == [want for _, _, want in LATE]
+
+
+def test_typo_match_equals_all_comparisons():
+    import random
+    from collections import Counter
+
+    rng = random.Random(3)
+    for n in (4, 6, 40, 41, 42, 43):
+        for _ in range(150):
+            left = Counter("".join(rng.choice("ab") for _ in range(n + rng.randrange(3) - 1)) for _ in range(5))
+            extra = []
+            for w in [*left.elements()] * 2:
+                i, kind = rng.randrange(len(w) - 1), rng.randrange(5)
+                extra.append((w, w[:i] + w[i + 1 :], w[:i] + "c" + w[i:], w[:i] + "c" + w[i + 1 :], w[:i] + w[i + 1] + w[i] + w[i + 2 :])[kind])
+            rest, over = list(left.elements()), []
+            for w in extra:
+                twin = next((x for x in rest if _close(w, x)), None)
+                rest.remove(twin) if twin is not None else over.append(w)
+            assert _matched(left, extra) == (len(extra) - len(over), over)
