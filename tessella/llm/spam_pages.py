@@ -1,15 +1,19 @@
 """Pages of stuffed keywords, link collections and product tags: robust outliers in spam-directed directions.
 
-Five features per page: density (share of words that stand in keyword strings, hashtags, product labels or bare link
-entries), share of function words, word entropy, repetition (share of words in repeated word pairs) and variety.
-Per language, a robust centre and scatter are found by concentration steps: start from medians and median deviations,
+Seven features per page: shares of words in bare link entries, in hashtags, of shops and offers (labels and prices
+included), in pairs of plain words that come again and again, of numbers, of function words; and word entropy.  Per
+language, a robust centre and scatter are found by concentration steps: start from medians and median deviations,
 then repeatedly take mean and covariance of the three quarters of the pages that lie nearest.  All pages take part;
-only means, quantiles and sums of products, a few rows per language, come to the driver.
+only quantiles, means and sums of products, a row per language, come to the driver.  Languages with less than
+`own_share` of the pages, and pages whose language isn't told, take the pooled shape.
 
-A page is flagged when its squared Mahalanobis distance is beyond the cutoff, the displacement points to spam (its
-whitened cosine with the spam direction is high enough) and, checked exactly, most of its words stand in spam units.
+A page is flagged when it is an outlier in a spam-directed direction: of the DIRECTIONS, the one that the whitened
+displacement is closest to must be met with a cosine of `cosine` or more, and the displacement must reach `distance`
+robust deviations along it.  No share decides by itself: half a page of repeated words is a table of values where
+numbers come with them, and a page of offers full of function words is spam with a third of its words in offers.
 
-Null and empty texts and pages under `min_words` words are never flagged.  Repeated ids give one row.
+Null and empty texts and pages under `min_words` words are never flagged.  Repeated ids give one row, that of the
+greatest reach.  Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -19,30 +23,38 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.llm.language import ALL_FUNCTION_WORDS, COMMERCE, FUNCTION_WORDS, detect
 from tessella.runtime import materialize
 
-FEATURES = ("density", "function_share", "entropy", "repetition", "variety")
-#: Signs in which a page departs towards spam.
-TOWARDS = np.array([1.0, -1.0, -1.0, 1.0, -1.0])
+FEATURES = ("links", "tags", "wares", "repeated", "numbers", "function_words", "entropy")
+#: Directions towards spam, in units of LEAST_SPREAD.
+DIRECTIONS = {
+    "links": (1.0, 0.0, 0.0, 0.0, 0.0, -0.3, 0.0),
+    "tags": (0.0, 1.0, 0.0, 0.0, 0.0, -0.3, 0.0),
+    "keywords": (0.0, 0.0, 1.0, 1.0, 0.0, -0.3, -0.5),
+    "phrases": (0.0, 0.0, 0.0, 1.0, -0.6, -0.5, -0.3),
+    "wares": (0.0, 0.0, 1.0, 0.3, 0.0, -0.3, -0.3),
+    "labels": (0.6, 0.8, 1.0, 0.5, 0.5, -0.3, 0.0),
+}
 #: Least spreads, so that a feature that is the same on nearly all pages can't blow up distances.
-LEAST_SPREAD = np.array([0.06, 0.05, 0.03, 0.05, 0.08])
+LEAST_SPREAD = np.array([0.05, 0.05, 0.05, 0.06, 0.08, 0.06, 0.04])
+
 
 @dataclass(frozen=True)
 class SpamPages:
     min_words: int = 8
-    quantile: float = 0.999
-    cosine: float = 0.25
-    share: float = 0.5
+    distance: float = 7.0
+    cosine: float = 0.65
     steps: int = 3
     core: float = 0.75
-    pooled_below: int = 300
+    own_share: float = 0.01
 
 
 _WORD = re.compile(r"[^\W_]+")
@@ -51,12 +63,11 @@ _LINK = re.compile(r"<a\s[^<>]*href[^<>]*>[^<>]{0,200}</a>|\[url=[^\[\]]*\][^\[\
 _HASHTAG = re.compile(r"(?<![\w#&])#[^\W\d_][\w-]*")
 _PRICE = re.compile(r"[$€£]\s?\d+(?:[.,]\d\d)?|\b\d+(?:[.,]\d\d)\s?(?:€|£|EUR|USD)")
 _LABEL = re.compile(r"\b(?:SKU|add to (?:cart|basket)|in stock|out of stock|on sale|sale|buy now|in den warenkorb|ajouter au panier|añadir al carrito|en stock|auf lager)\b", re.I)
-_CODE = re.compile(r"[<>{}=_&;|\\]|\d")
 _STOP = re.compile(r"[.!?…]")
 
 
-def _link_spans(text: str) -> tuple[list[tuple[int, int]], int]:
-    """Spans of link entries that have no sentence of their own, and the number of links.
+def _link_spans(text: str) -> list[tuple[int, int]]:
+    """Spans of link entries that have no sentence of their own.
 
     An entry runs from a link to the next one or, where links stand on lines, to the end of its line.
     """
@@ -77,107 +88,61 @@ def _link_spans(text: str) -> tuple[list[tuple[int, int]], int]:
                 continue
         if len(rest) < 5 or told < 2 and len(rest) < 12 and not _STOP.search(text[m.end() : end]):
             spans.append((start, end if len(rest) < 5 else m.end()))
-    return spans, len(links)
-
+    return spans
 
-def may_hold_units(text: str) -> bool:
-    """False only where `spam_share` is 0: no bare link entry, hashtag or pair of plain words often enough, and nothing commercial.
 
-    Pairs are counted here wherever they stand, so no chain that `spam_share` finds can be missed.
-    """
-    if "#" in text and _HASHTAG.search(text):
-        return True
-    if any(x in text for x in ("http", "www.", "<a", "[url=")) and _link_spans(text)[0]:
-        return True
-    words = list(map(str.lower, _WORD.findall(text)))
+def _units(text: str, found: list[re.Match], words: list[str], counts: Counter) -> tuple[np.ndarray, ...]:
+    """Which words stand in bare link entries, in hashtags, are of offers, and stand in pairs that come again and again."""
     n = len(words)
-    counts = Counter(words)
-    if sum(counts[w] for w in COMMERCE & counts.keys()) / max(1, n) >= 0.04:
-        return True
-    if any(x in text for x in ("$", "€", "£", "EUR", "USD")) and len(_PRICE.findall(text)) >= 3:
-        return True
+    starts = np.array([m.start() for m in found])
+
+    def marked(spans: list[tuple[int, int]]) -> np.ndarray:
+        flag = np.zeros(n, dtype=bool)
+        for x, y in spans:
+            flag[np.searchsorted(starts, x) : np.searchsorted(starts, y)] = True
+        return flag
+
+    links = marked(_link_spans(text) if any(x in text for x in ("http", "www.", "<a", "[url=")) else [])
+    tags = marked([m.span() for m in _HASHTAG.finditer(text)] if "#" in text else [])
+    labels = [m.span() for m in _LABEL.finditer(text)]
+    if any(x in text for x in ("$", "€", "£", "EUR", "USD")):
+        labels += [m.span() for m in _PRICE.finditer(text)]
+    wares = marked(labels)
+    if not COMMERCE.isdisjoint(counts):
+        wares |= np.array([w in COMMERCE for w in words])
+    # neighbouring plain words, a space apart
     least = max(3, n // 60)
-    often = {w for w, c in counts.items() if c >= least and w not in ALL_FUNCTION_WORDS and len(w) > 1 and w.isalpha()}
-    if not often:
-        return False
-    pairs = Counter([p for p in zip(words, words[1:]) if p[0] in often and p[1] in often])
-    return any(c >= least for c in pairs.values())
+    often = {w for w, c in counts.items() if c >= least and len(w) > 1 and w.isalpha() and w not in ALL_FUNCTION_WORDS}
+    repeated = np.zeros(n, dtype=bool)
+    at = [i for i in range(n - 1) if words[i] in often and words[i + 1] in often and found[i + 1].start() - found[i].end() == 1 and text[found[i].end()] == " "] if often else []
+    again = Counter([(words[i], words[i + 1]) for i in at])
+    for i in at:
+        if again[words[i], words[i + 1]] >= least:
+            repeated[i] = repeated[i + 1] = True
+    return links, tags, wares, repeated
 
 
 def spam_share(text: str) -> float:
-    """Share of the words that stand in keyword strings, hashtags, product labels or bare link entries."""
-    words = [(m.start(), m.end(), m.group().lower()) for m in _WORD.finditer(text)]
-    n = len(words)
-    if not n:
-        return 0.0
-    flag = np.zeros(n, dtype=bool)
-    starts = np.array([w[0] for w in words])
-
-    def mark(a: int, b: int) -> None:
-        flag[np.searchsorted(starts, a) : np.searchsorted(starts, b)] = True
-
-    spans, _ = _link_spans(text)
-    for a, b in spans:
-        mark(a, b)
-    tags = [(m.start(), m.end()) for m in _HASHTAG.finditer(text)]
-    for a, b in tags:
-        mark(a, b)
-    prices = [(m.start(), m.end()) for m in _PRICE.finditer(text)]
-    labels = [(m.start(), m.end()) for m in _LABEL.finditer(text)]
-    # neighbouring words, both plain, that come again and again
-    pairs: Counter = Counter()
-    joined = [False] * n
-    plain = [w.isalpha() and w not in ALL_FUNCTION_WORDS and len(w) > 1 for _, _, w in words]
-    for i in range(n - 1):
-        if plain[i] and plain[i + 1] and words[i + 1][0] - words[i][1] == 1 and text[words[i][1]] == " ":
-            before, after = text[words[i][0] - 1 : words[i][0]], text[words[i + 1][1] : words[i + 1][1] + 1]
-            if not _CODE.search(before.replace("|", " ")) and not _CODE.search(after.replace("|", " ").replace(";", " ")):
-                joined[i] = True
-                pairs[words[i][2], words[i + 1][2]] += 1
-    least = max(3, n // 60)
-    again = 0
-    numbers = sum(any(c.isdigit() for c in w) for _, _, w in words) / n
-    wares = sum(w in COMMERCE for _, _, w in words) / n
-    chains = {p for p, c in pairs.items() if c >= least}
-    repeated = np.zeros(n, dtype=bool)
-    for i in range(n - 1):
-        if joined[i] and (words[i][2], words[i + 1][2]) in chains:
-            repeated[i] = repeated[i + 1] = True
-            again += 1
-    commercial = wares >= 0.04 or len(prices) >= 3 or len(tags) >= 3
-    if commercial or numbers < 0.08:
-        flag |= repeated
-    if commercial:
-        flag |= np.array([w in COMMERCE for _, _, w in words])
-        if labels or (prices and (repeated.any() or tags)):
-            for a, b in prices + labels:
-                mark(a, b)
-    # words caught between flagged ones belong to the string, unless they make a clause
-    i = 0
-    edge = -1
-    for i in np.flatnonzero(flag).tolist():
-        gap = i - edge - 1
-        if edge >= 0 and 0 < gap <= (4 if labels and prices else 2):
-            if not _STOP.search(text[words[edge][1] : words[i][0]].strip(" .!?")) and sum(words[j][2] in ALL_FUNCTION_WORDS for j in range(edge + 1, i)) <= 2:
-                flag[edge + 1 : i] = True
-        edge = i
-    return float(flag.mean())
+    """Share of the words that stand in any unit of spam; a plain statistic that decides nothing."""
+    found = list(_WORD.finditer(text))
+    words = [m.group().lower() for m in found]
+    return float(np.logical_or.reduce(_units(text, found, words, Counter(words))).mean()) if found else 0.0
 
 
 def page_features(text: str | None) -> tuple[int, str | None, tuple[float, ...]]:
     """Number of words, language told by the words, and FEATURES."""
-    text = (text or "").replace("﻿", "")
-    words = _WORD.findall(text.lower())
-    n = len(words)
+    text = (text or "").replace("\ufeff", "")
+    found = list(_WORD.finditer(text))
+    n = len(found)
     if not n:
-        return 0, None, (0.0, 0.0, 0.0, 0.0, 0.0)
+        return 0, None, (0.0,) * len(FEATURES)
+    words = [m.group().lower() for m in found]
     counts = Counter(words)
-    fw = sum(c for w, c in counts.items() if w in ALL_FUNCTION_WORDS) / n
+    shares = [float(u.mean()) for u in _units(text, found, words, counts)]
+    numbers = sum(c for w, c in counts.items() if not w.isalpha() and any(x.isdigit() for x in w)) / n
+    told = sum(c for w, c in counts.items() if w in ALL_FUNCTION_WORDS) / n
     entropy = -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 1.0
-    pairs = Counter(zip(words, words[1:]))
-    again = sum(c for (a, b), c in pairs.items() if c >= 3 and a not in ALL_FUNCTION_WORDS and b not in ALL_FUNCTION_WORDS) / n
-    density = 0.0 if fw >= 0.3 and "://" not in text and "www." not in text else spam_share(text)
-    return n, detect(words, least=2.0), (density, fw, entropy, again, len(counts) / n)
+    return n, detect(words, least=2.0), (*shares, numbers, told, entropy)
 
 
 COLS = ", ".join(f"{f} double" for f in FEATURES)
@@ -208,44 +173,48 @@ class Shape:
         return self.centre, (vectors / np.sqrt(np.maximum(values, 1e-8))) @ vectors.T
 
 
-def _distances(shapes: dict[str, tuple[np.ndarray, np.ndarray]]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = np.stack([batch.column(f).to_numpy(zero_copy_only=False) for f in FEATURES], axis=1)
-            lang = np.array(batch.column("lang").to_pylist(), dtype=object)
-            d2, cosine = np.zeros(len(x)), np.zeros(len(x))
-            for key, (centre, white) in shapes.items():
-                here = lang == key
-                if here.any():
-                    y = (x[here] - centre) @ white
-                    towards = white @ (TOWARDS * LEAST_SPREAD)
-                    d2[here] = (y * y).sum(axis=1)
-                    cosine[here] = (y @ towards) / np.maximum(np.sqrt(d2[here]) * np.linalg.norm(towards), 1e-9)
-            yield pa.record_batch([*batch.columns, pa.array(d2), pa.array(cosine)], names=[*batch.schema.names, "d2", "cosine"])
+def _sum(terms: list) -> Column:
+    return reduce(lambda x, y: x + y, terms)
 
-    return run
+
+def _placed(pages: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
+    """`pages` with the squared distance `d2`, and by direction the deviations `r_...` along it; rows of no shape are left out.
+
+    The shapes are sent along: a row per language of FUNCTION_WORDS, and one for the pooled shape.
+    """
+    k = len(FEATURES)
+    rows = []
+    for key, shape in shapes.items():
+        centre, white = shape.prepared()
+        aims = [white @ (np.array(t) * LEAST_SPREAD) for t in DIRECTIONS.values()]
+        along = [white @ (u / np.linalg.norm(u)) for u in aims]
+        rows.append((key, centre.tolist(), (white @ white).ravel().tolist(), [a.tolist() for a in along]))
+    table = pages.sparkSession.createDataFrame(rows, "lang string, c array<double>, q array<double>, u array<array<double>>")
+    table = table.select("lang", *[F.col("c")[i].alias(f"c{i}") for i in range(k)], *[F.col("q")[i * k + j].alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)], *[F.col("u")[d][i].alias(f"u{d}_{i}") for d in range(len(DIRECTIONS)) for i in range(k)])
+    off = pages.join(F.broadcast(table), "lang").withColumns({f"x{i}": F.col(f) - F.col(f"c{i}") for i, f in enumerate(FEATURES)})
+    d2 = _sum([F.col(f"x{i}") * F.col(f"x{j}") * F.col(f"q{i}_{j}") * (1 if i == j else 2) for i in range(k) for j in range(i, k)])
+    reach = {f"r_{t}": _sum([F.col(f"x{i}") * F.col(f"u{d}_{i}") for i in range(k)]) for d, t in enumerate(DIRECTIONS)}
+    return off.withColumns({"d2": d2} | reach).select(*pages.columns, "d2", *reach)
 
 
-def _with_distance(pages: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
-    ready = {k: s.prepared() for k, s in shapes.items()}
-    return pages.mapInArrow(_distances(ready), f"id long, n_words int, lang string, {COLS}, d2 double, cosine double")
+POOLED = "pooled"
 
 
 def robust_shapes(pages: DataFrame, p: SpamPages) -> dict[str, Shape]:
-    """Centre and scatter of each language; a language with few pages takes the scatter of all."""
+    """Centre and scatter of each value of `lang`, and the pooled ones.  Any language but POOLED must have pages enough."""
     k = len(FEATURES)
-    rows = pages.groupBy("lang").agg(F.count("*").alias("n"), *[F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES]).collect()  # a row per language
-    medians = {r.lang: np.array([r[f] for f in FEATURES]) for r in rows}
-    number = {r.lang: r.n for r in rows}
-    if not medians:
+    rows = pages.groupBy("lang").agg(*[F.percentile_approx(f, 0.5, 2000).alias(f) for f in FEATURES]).collect()  # a row per language
+    shapes = {r.lang: Shape(np.array([r[f] for f in FEATURES]), np.diag(LEAST_SPREAD**2)) for r in rows}
+    if not shapes:
         return {}
-    at = F.create_map(*[x for lang, m in medians.items() for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in m]))])
+    at = F.create_map(*[x for lang, m in shapes.items() for x in (F.lit(lang), F.array(*[F.lit(float(v)) for v in m.centre]))])
     off = [F.percentile_approx(F.abs(F.col(f) - at[F.col("lang")][i]), 0.5, 2000).alias(f) for i, f in enumerate(FEATURES)]
-    spreads = {r.lang: np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), LEAST_SPREAD) for r in pages.groupBy("lang").agg(*off).collect()}
-    shapes = {lang: Shape(medians[lang], np.diag(spreads[lang] ** 2)) for lang in medians}
+    for r in pages.groupBy("lang").agg(*off).collect():
+        shapes[r.lang].scatter = np.diag(np.maximum(1.4826 * np.array([r[f] for f in FEATURES]), LEAST_SPREAD) ** 2)
     products = [(i, j) for i in range(k) for j in range(i, k)]
+    own = [x for x in shapes if x != POOLED]
     for _ in range(p.steps):
-        near = _with_distance(pages, shapes)
+        near = _placed(pages, shapes)
         edge = {r.lang: r.q for r in near.groupBy("lang").agg(F.percentile_approx("d2", p.core, 2000).alias("q")).collect()}
         limit = F.create_map(*[x for lang, q in edge.items() for x in (F.lit(lang), F.lit(float(q)))])
         sums = (
@@ -254,31 +223,33 @@ def robust_shapes(pages: DataFrame, p: SpamPages) -> dict[str, Shape]:
             .agg(F.count("*").alias("n"), *[F.sum(f).alias(f) for f in FEATURES], *[F.sum(F.col(FEATURES[i]) * F.col(FEATURES[j])).alias(f"s{i}_{j}") for i, j in products])
             .collect()
         )
-        means, crosses, ns = {}, {}, {}
+        numbers = {}
         for r in sums:
-            ns[r.lang] = r.n
-            means[r.lang] = np.array([r[f] for f in FEATURES]) / r.n
+            mean = np.array([r[f] for f in FEATURES]) / r.n
             cross = np.zeros((k, k))
             for i, j in products:
                 cross[i, j] = cross[j, i] = r[f"s{i}_{j}"]
-            crosses[r.lang] = cross / r.n - np.outer(means[r.lang], means[r.lang])
-        pooled = sum(crosses[x] * ns[x] for x in crosses) / max(1, sum(ns.values()))
-        for lang in means:
-            scatter = crosses[lang] if number[lang] >= p.pooled_below else pooled
             # trimming to the core narrows the scatter; the factor restores it for a normal core
-            scatter = scatter * chi_square(k, 0.6745) / chi_square(k, 0.0) + np.diag(LEAST_SPREAD**2) * 0.5
-            shapes[lang] = Shape(means[lang], scatter)
+            scatter = (cross / r.n - np.outer(mean, mean)) * chi_square(k, 0.6745) / chi_square(k, 0.0) + np.diag(LEAST_SPREAD**2) * 0.5
+            shapes[r.lang], numbers[r.lang] = Shape(mean, scatter), r.n
+        if own:  # else no language has pages enough, and the pooled shape is that of all pages
+            weights = np.array([numbers[x] for x in own]) / sum(numbers[x] for x in own)
+            shapes[POOLED] = Shape(sum(w * shapes[x].centre for w, x in zip(weights, own)), sum(w * shapes[x].scatter for w, x in zip(weights, own)))
     return shapes
 
 
 def score_pages(docs: DataFrame, p: SpamPages = SpamPages()) -> DataFrame:
-    """(id, n_words, lang, FEATURES, d2, cosine, is_spam): one row per id.  Needs docs(id, text, lang)."""
+    """(id, n_words, lang, FEATURES, d2, direction, reach, cosine, is_spam): one row per id.  Needs docs(id, text, lang)."""
     source = docs.filter(F.col("id").isNotNull()).select(F.col("id").cast("long").alias("id"), "text", F.lower(F.trim("lang")).alias("lang"))
     pages = materialize(source.mapInArrow(_measurer, f"id long, n_words int, lang string, {COLS}"), "page-features")
     full = pages.filter(F.col("n_words") >= p.min_words)
-    cutoff = chi_square(len(FEATURES), 3.09 if p.quantile >= 0.999 else 2.326)
-    scored = _with_distance(full, robust_shapes(full, p))
-    outlying = (F.col("d2") > cutoff) & (F.col("cosine") >= p.cosine) & (F.col("density") >= p.share)
-    cells = ["n_words", "lang", *FEATURES, "d2", "cosine"]
-    once = scored.groupBy("id").agg(F.max(F.struct("density", *[c for c in cells if c != "density"])).alias("r")).select("id", *[F.col(f"r.{c}") for c in cells])
-    return once.withColumn("is_spam", outlying)
+    counted = {r["lang"]: r["count"] for r in full.groupBy("lang").count().collect()}  # a row per language of FUNCTION_WORDS and "other"
+    own = [x for x, c in counted.items() if x != "other" and c >= p.own_share * sum(counted.values())]
+    shaped = full.withColumn("told", F.col("lang")).withColumn("lang", F.when(F.col("lang").isin(own), F.col("lang")).otherwise(F.lit(POOLED)))
+    placed = _placed(shaped, robust_shapes(shaped, p))
+    best = F.greatest(*[F.struct(F.col(f"r_{t}").alias("reach"), F.lit(t).alias("direction")) for t in DIRECTIONS])
+    cells = ["reach", "n_words", F.col("told").alias("lang"), *FEATURES, "d2", "direction"]
+    once = placed.withColumn("best", best).select("*", "best.*").groupBy("id").agg(F.max(F.struct(*cells)).alias("r")).select("id", "r.*")
+    cosine = F.col("reach") / F.sqrt(F.greatest(F.col("d2"), F.lit(1e-18)))
+    scored = once.withColumn("cosine", cosine).select("id", "n_words", "lang", *FEATURES, "d2", "direction", "reach", "cosine")
+    return scored.withColumn("is_spam", (F.col("reach") >= p.distance) & (F.col("cosine") >= p.cosine))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 import pytest
 
-from tessella.llm.spam_pages import Shape, chi_square, page_features, score_pages, spam_share
+from tessella.llm.spam_pages import Shape, SpamPages, chi_square, page_features, score_pages, spam_share
 
 PROSE = "The keeper of the old tower watched the harbor while the rain fell on every roof near {}. She had no lamp, but the moon was bright enough for both of them, and nobody at the shop had a better one. "
 rng = random.Random(1)
@@ -71,3 +71,30 @@ def test_whitening_gives_the_squared_distance():
     want = np.einsum("ij,jk,ik->i", x - centre, np.linalg.inv(shape.scatter), x - centre)
     assert np.allclose((y * y).sum(axis=1), want)
     assert abs(chi_square(5, 3.0902) - 20.515) < 0.3
+
+
+FRENCH = "La gardienne de la tour regardait le port sous la pluie, et nous ne savions pas où elle avait posé la lampe de {}. "
+#: Under half of the words are of offers or repeated, yet the page is far out in a direction of spam.
+STUFFED = FRENCH.format("Merin") + ", ".join(f"{n} {'en prix' if i % 3 else 'pas cher'}, {n} promo en" for i, n in enumerate(NAMES)) + ". "
+#: Most words stand in pairs that come again, but with a value each: a table.
+VALUES = "\n".join(f"armor class {rng.randrange(10, 20)} hit points {rng.randrange(9, 90)} saving throw {rng.randrange(1, 9)}, {rng.randrange(1, 9)}" for _ in range(24))
+
+
+def test_distance_and_direction_decide_and_not_a_share(spark):
+    rows = [(i, t, "fr") for i, t in enumerate([STUFFED, VALUES, *FINE.values()])]
+    rows += [(1000 + i, PROSE.format(rng.choice(NAMES)) * (1 + i % 4), "en") for i in range(300)]
+    rows += [(2000 + i, FRENCH.format(rng.choice(NAMES)) * (1 + i % 4), "fr") for i in range(300)]
+    df = spark.createDataFrame(rows, "id long, text string, lang string")
+    got = {r.id: r for r in score_pages(df).collect()}
+    assert got[0].is_spam and spam_share(STUFFED) < 0.5
+    assert not got[1].is_spam and spam_share(VALUES) > 0.5
+    spam = {i for i, r in got.items() if r.is_spam}
+    assert spam == {0}
+    without = {name: {r.id for r in score_pages(df, p).collect() if r.is_spam} - spam for name, p in (("direction", SpamPages(cosine=-1.0)), ("distance", SpamPages(distance=0.5)))}
+    assert all(without.values())
+
+
+def test_parts_change_nothing(spark):
+    rows = [(i, t, None) for i, t in enumerate([*SPAM.values(), *FINE.values()])] + [(100 + i, PROSE.format(n) * (1 + i % 3), None) for i, n in enumerate(NAMES)]
+    got = [{(r.id, r.is_spam) for r in score_pages(spark.createDataFrame(rows, "id long, text string, lang string").repartition(n)).collect()} for n in (1, 16)]
+    assert got[0] == got[1]
