@@ -63,6 +63,8 @@ _LINK = re.compile(r"<a\s[^<>]*href[^<>]*>[^<>]{0,200}</a>|\[url=[^\[\]]*\][^\[\
 _HASHTAG = re.compile(r"(?<![\w#&])#[^\W\d_][\w-]*")
 _PRICE = re.compile(r"[$€£]\s?\d+(?:[.,]\d\d)?|\b\d+(?:[.,]\d\d)\s?(?:€|£|EUR|USD)")
 _LABEL = re.compile(r"\b(?:SKU|add to (?:cart|basket)|in stock|out of stock|on sale|sale|buy now|in den warenkorb|ajouter au panier|añadir al carrito|en stock|auf lager)\b", re.I)
+#: Signs of links, hashtags and prices.
+_PLACED = ("#", "http", "www.", "<a", "[url=", "$", "€", "£", "EUR", "USD")
 _STOP = re.compile(r"[.!?…]")
 
 
@@ -122,11 +124,41 @@ def _units(text: str, found: list[re.Match], words: list[str], counts: Counter)
     return links, tags, wares, repeated
 
 
-def spam_share(text: str) -> float:
-    """Share of the words that stand in any unit of spam; a plain statistic that decides nothing."""
+def may_hold_units(text: str) -> bool:
+    """False only where no word can stand in a unit that hangs on its place: no link, hashtag, label, price or pair of words often enough."""
+    if any(x in text for x in _PLACED) or _LABEL.search(text):
+        return True
+    words = _WORD.findall(text.lower())
+    if not COMMERCE.isdisjoint(words):
+        return True
+    least = max(3, len(words) // 60)
+    often = {w for w, c in Counter(words).items() if c >= least and w not in ALL_FUNCTION_WORDS}
+    return any(x in often and y in often for x, y in zip(words, words[1:])) if often else False
+
+
+def spam_units(text: str) -> tuple[float, frozenset[str]]:
+    """Share of the words that stand in any unit of spam, and the words of pairs that come again and again.
+
+    Where no unit can hang on its place, the words of offers are counted without looking for places.
+    """
+    words = _WORD.findall(text.lower())
+    if not words:
+        return 0.0, frozenset()
+    counts = Counter(words)
+    least = max(3, len(words) // 60)
+    often = {w for w, c in counts.items() if c >= least and w not in ALL_FUNCTION_WORDS}
+    again = Counter([x for x in zip(words, words[1:]) if x[0] in often and x[1] in often]) if often else {}
+    pairs = frozenset(w for x, c in again.items() if c >= least for w in x if len(w) > 1 and w.isalpha())
+    if not pairs and not any(x in text for x in _PLACED) and not _LABEL.search(text):
+        return sum(counts[w] for w in COMMERCE & counts.keys()) / len(words), pairs
     found = list(_WORD.finditer(text))
     words = [m.group().lower() for m in found]
-    return float(np.logical_or.reduce(_units(text, found, words, Counter(words))).mean()) if found else 0.0
+    return float(np.logical_or.reduce(_units(text, found, words, Counter(words))).mean()), pairs
+
+
+def spam_share(text: str) -> float:
+    """Share of the words that stand in any unit of spam; a plain statistic that decides nothing."""
+    return spam_units(text)[0]
 
 
 def page_features(text: str | None) -> tuple[int, str | None, tuple[float, ...]]:
