@@ -66,6 +66,8 @@ _SIGN_OFF = re.compile(
 _CLOSED = re.compile(r"(\((see|cf\.?|p\.|pp\.|ref|source|siehe|vgl|véase|ver|voir)[^()]*\)|\[[^\[\]()]{1,40}\](\([^()\s]+\))?|[=≈]\s*[-+]?[\d.,]+[)\]]?|```|</[A-Za-z][\w:.-]*>|https?://[^\s()]+|[:;=]-?[)DPp(]|[™®©%°$€£]|[\U0001F300-\U0001FAFF☀-➿]️?|\*\*?[^*\n]+[.!?]\*\*?)$")
 _FULL_STOP = re.compile(r"[.!?。！？][\"”“’'»«)\]}*_`]*$")
 _DANGLING = re.compile(r"([,;:\-–—+/*=&(\[{<“«„]|…|\.\.\.?\.?|\[(\.\.\.|…)\]|\]\([^)]*|\(\s*(p|see|cf|z\.B|e\.g|i\.e)\.?)$", re.I)
+_TRAILS = re.compile(r"(…|\.\.)[\]\"”’')]*$")
+_ENDED = re.compile(r"[.!?。！？][\"”“’'»«)\]}*_`]*\s")
 _ITEM = re.compile(r"^\s*(?:[-*+•]|\d{1,3}[.)]|[a-z][.)]|\[[ x]\])(?:\s+(.*))?$", re.I)
 
 
@@ -76,15 +78,17 @@ def visible(text: str | None) -> str:
     return _UNSEEN.sub("", _TAG.sub(" ", html.unescape(text))).replace(" ", " ").strip()
 
 
-def empty_votes(seen: str, words: list[str]) -> tuple[int, ...]:
+def empty_votes(reply: str | None, seen: str, words: list[str]) -> tuple[int, ...]:
+    """No words; nothing but a placeholder; signs only; marked up or in brackets as a whole; a word or two; a number."""
     bare = " ".join(words) if len(words) <= 8 else "-"
-    holds = bool(_PLACEHOLDER.fullmatch(bare)) and not (bare == "none" and seen.endswith("!"))
+    framed = bool(re.fullmatch(r"[\[(<{].*[\])>}]", (reply or "").strip(), re.S)) if len(words) <= 8 else False
     return (
-        YES if not words else NO,
-        YES if not words or holds else NO,
+        NO if words else YES,
+        NONE if not words else YES if _PLACEHOLDER.fullmatch(bare) else NO,
+        YES if seen and not words else NONE,
+        YES if framed else NONE,
         NO if len(words) >= 4 else NONE,
-        YES if not words or (holds and len(words) <= 5) else NO if words else NONE,
-        YES if len(seen) <= 1 else NO if len(words) >= 4 or any(c.isdigit() for c in seen) else NONE,
+        NO if any(w.isdigit() for w in words[:8]) or seen.endswith("!") else NONE,
     )
 
 
@@ -156,18 +160,22 @@ def _most_own(question: list[str]) -> int:
     return 3 * len(question) + 12
 
 
-def copied_votes(question: str | None, reply: str | None, q: list[str], r: list[str]) -> tuple[int, ...]:
+def copied_votes(question: str | None, seen: str, q: list[str], r: list[str]) -> tuple[int, ...]:
+    """Most words of the question are met; hardly any others are; it ends by asking; the order is the question's; no sentence says more."""
     if not q or not r:
-        return (NONE, NO if r else NONE, NONE, NO if r else NONE)
+        return (NONE, NO if r else NONE, NONE, NONE, NO if r else NONE)
     share, extra = overlap(q, r)
-    if round(share * len(q)) + extra > _most_own(q):
-        return (NO, NO, NONE, NO)
-    asks = (reply or "").rstrip(" \"”’'*_>)]\n").endswith("?")
+    asked = set(q)
+    stop = seen.rstrip(" \"”’'*_>)]\n")
+    neighbours = set(zip(q, q[1:])) or {(q[0], q[0])}
+    kept = len(neighbours & set(zip(r, r[1:]))) / len(neighbours)
+    more = sum(len(_WORDS.findall(s)) >= 4 and not _restates(s, asked) for s in _SENTENCE.split(seen.lower()) if s)
     return (
-        YES if share >= 0.75 else NO,
-        YES if extra <= max(3, 0.25 * len(q)) and share >= 0.5 else NO,
-        YES if asks and share >= 0.5 else NONE,
-        YES if share >= 0.6 and extra <= 5 else NO,
+        YES if share >= 0.7 else NO,
+        YES if extra <= max(3, 0.25 * len(q)) else NO,
+        YES if stop.endswith("?") else NO if stop.endswith((".", "!")) else NONE,
+        YES if kept >= 0.5 else NO if kept < 0.2 else NONE,
+        NO if more else YES,
     )
 
 
@@ -177,93 +185,85 @@ def _restates(sentence: str, asked: set[str]) -> bool:
     return 5 * sum(w in asked for w in words) >= 4 * len(words)
 
 
-def refusal_votes(reply: str | None, r: list[str], q: list[str] | tuple[str, ...] = ()) -> tuple[int, ...]:
-    """Every sentence is judged; those that give the question back answer nothing and don't count as the reply's words."""
+def refusal_votes(seen: str, r: list[str], q: list[str] | tuple[str, ...] = ()) -> tuple[int, ...]:
+    """A way to decline; a hedge in it; no sentence that answers; words of courtesy or rules; many words; first person.
+
+    Sentences that give the question back answer nothing and don't count as the reply's words.
+    """
     if not r:
-        return (NONE,) * 4
-    text = (reply or "").replace("’", "'").lower()
-    long = len(r) > 45
-    sentences = [s for s in _SENTENCE.split(text.strip()) if s and _WORDS.search(s)] if _TRIGGER.search(text) else []
-    declines = [bool(_TRIGGER.search(s) and _DECLINE.search(s)) and not _HEDGE.search(s) for s in sentences]
-    if not sentences:
-        return (NO, NO if len(r) >= 4 else NONE, NO if long or not _FIRST_PERSON.search(text) else NONE, NO)
-    answers = [s for s, d in zip(sentences, declines) if not d and not _COURTESY.match(s.strip(" \"'“*_>-")) and len(s.split()) >= 4]
-    any_decline = any(declines)
-    if any_decline and q:
-        asked = set(q)
-        answers = [s for s in answers if not _restates(s, asked)]
-        long = sum(len(_WORDS.findall(s)) for s, d in zip(sentences, declines) if d or not _restates(s, asked)) > 45 if long else False
+        return (NONE,) * 6
+    text = seen.replace("’", "'").lower()
+    sentences = [s for s in _SENTENCE.split(text.strip()) if s and _WORDS.search(s)]
+    declines = [bool(_TRIGGER.search(s) and _DECLINE.search(s)) for s in sentences]
+    asked = set(q)
+    own = [(s, d, len(_WORDS.findall(s))) for s, d in zip(sentences, declines) if d or not asked or not _restates(s, asked)]
+    courteous = [bool(_COURTESY.match(s.strip(" \"'“*_>-"))) for s, _, _ in own]
+    answers = any(not d and not c and n >= 4 for (_, d, n), c in zip(own, courteous))
     return (
-        YES if any_decline else NO,
-        (NO if answers else YES) if any_decline else NO if answers else NONE,
-        YES if any_decline and not long else NO if long or not _FIRST_PERSON.search(text) and "guidelines" not in text else NONE,
-        YES if any_decline and not answers else NO,
+        YES if any(declines) else NO,
+        NO if any(d and _HEDGE.search(s) for s, d in zip(sentences, declines)) else NONE,
+        NO if answers else YES,
+        YES if any(courteous) or "guidelines" in text else NONE,
+        NO if sum(n for *_, n in own) > 45 else NONE,
+        YES if _FIRST_PERSON.search(text) else NO,
     )
 
 
 def language_votes(asked: str, seen: str) -> tuple[int, ...]:
+    """Another language has more function words; no sentence is in the question's language; its function words are few; letters with marks differ."""
     qw, rw = letters_words(asked), letters_words(seen)
     if not qw or len(rw) < 5:
         return (NONE,) * 4
-    lq, lr = detect(qw, least=0.9, margin=1.3), detect(rw, least=1.4, margin=1.3)
-    if lq is None or lr is None:
-        return (NONE,) * 4
-    differ = lq != lr
-    if not differ:
-        return (NO,) * 4
+    lq = detect(qw, least=0.9, margin=1.3)
     got = language_scores(rw)
-    sentences = [letters_words(s) for s in _SENTENCE.split(seen) if s]
-    own = sum(len(s) for s in sentences if detect(s, least=1.0, margin=1.3) == lq)
+    most = max(got.values(), default=0.0)
     plain = lambda ws: sum(not w.isascii() for w in ws) / max(1, len(ws))
+    told = [detect(letters_words(s), least=1.0, margin=1.3) for s in _SENTENCE.split(seen) if s]
     return (
-        YES,
-        YES if own == 0 else NO,
-        YES if got.get(lq, 0.0) <= 0.25 * got.get(lr, 1.0) else NO,
-        YES if abs(plain(qw) - plain(rw)) > 0.03 else NONE,
+        NONE if lq is None or not got else YES if got.get(lq, 0.0) < most else NO,
+        NONE if lq is None or not any(told) else NO if lq in told else YES,
+        NONE if lq is None or most < 1.4 else YES if got.get(lq, 0.0) <= 0.3 * most else NO,
+        YES if abs(plain(qw) - plain(rw)) > 0.05 else NONE,
     )
 
 
 def _unclosed(text: str) -> bool:
+    """Whether a fence, a tool tag or a bracket of the last paragraph stays open."""
     if text.count("```") % 2:
         return True
-    tail = text[-400:]
-    opened = re.findall(r"<([A-Za-z][\w-]*)(?::[^<>]*)?>", tail)
-    closed = re.findall(r"</([A-Za-z][\w-]*)>", tail)
-    if len([t for t in opened if t.upper() == "TOOL"]) > len([t for t in closed if t.upper() == "TOOL"]):
+    if len(re.findall(r"<TOOL(?::[^<>]*)?>", text, re.I)) > len(re.findall(r"</TOOL>", text, re.I)):
         return True
-    last = text[-200:]
-    return last.rfind("(") > last.rfind(")") or last.rfind("[") > last.rfind("]") and not re.search(r"\[[ x]\]", last[last.rfind("[") :] + "]")
+    last = text[text.rfind("\n\n") + 1 :]
+    if last.rfind("(") > last.rfind(")"):
+        return True
+    return last.rfind("[") > last.rfind("]") and not re.search(r"\[[ x]\]", last[last.rfind("[") :] + "]")
 
 
 def truncated_votes(reply: str | None, r: list[str]) -> tuple[int, ...]:
+    """No end mark; a dangling sign; something left open; a function word at the end; the last item of a list; a sign-off; a closing reference, formula or sign; few words; no end mark though an earlier line or sentence has one."""
     text = (reply or "").rstrip()
-    if len(r) < 4:
-        return (NONE, NO, NO, NONE, NONE)
+    if not r:
+        return (NONE,) * 9
     lines = [x for x in text.split("\n") if x.strip()]
-    last = lines[-1].strip()[-300:]
-    unclosed = _unclosed(text)
+    last = lines[-1].strip()
+    stop = bool(_FULL_STOP.search(last[-60:]))
     item = _ITEM.match(lines[-1])
     before = _ITEM.match(lines[-2]) if len(lines) > 1 else None
-    tail = text[-60:]
-    stop = bool(_FULL_STOP.search(tail)) and not re.search(r"(\.\.\.|…|\[\.\.\.\])[\"”’')\]]*$", tail)
-    signed = bool(_SIGN_OFF.fullmatch(re.split(r"(?<=[.!?”\"’')\]>`])\s+", last)[-1].strip(" .!*_"))) or bool(re.search(r"[.!?][\"”’')\]]*\s+[-–—]\s?\w+$", tail))
-    closed = bool(_CLOSED.search(last)) and not unclosed and not re.search(r"\[(\.\.\.|…)\]$", last)
-    listed = False
-    bare_item = item is not None and not (item.group(1) or "").strip(" .")
-    if item is not None and not bare_item:
-        body = item.group(1)
-        listed = not (before is not None and before.group(1) and _FULL_STOP.search(before.group(1).strip()) and not _FULL_STOP.search(body.strip()))
-        listed = listed and not _DANGLING.search(body.strip()) and not (letters_words(body) and letters_words(body)[-1] in ALL_FUNCTION_WORDS and not _FULL_STOP.search(body))
-    dangling = bool(_DANGLING.search(text)) and not (item is None and signed) and not closed
-    proper = (stop or signed or closed or listed) and not bare_item
+    bare = item is not None and not (item.group(1) or "").strip(" .")
+    listed = item is not None and not bare and (before is None or not before.group(1) or _FULL_STOP.search(before.group(1).strip()) is None)
+    tail = re.split(r"(?<=[.!?”\"’')\]>`])\s+", last)[-1].strip(" .!*_")
+    signed = bool(_SIGN_OFF.fullmatch(tail)) or bool(re.search(r"[.!?][\"”’')\]]*\s+[-–—]\s?\w+$", last))
     words = letters_words(last)
-    hanging = not proper and bool(words) and words[-1] in ALL_FUNCTION_WORDS
     return (
-        NO if proper else YES,
-        YES if dangling or bare_item or (unclosed and not stop) else NO if proper else NONE,
-        YES if unclosed and not stop or bare_item else NO if proper else NONE,
-        NO if signed or closed or listed else NONE,
-        YES if hanging or (not proper and text[-1:].isalnum()) else NO if stop else NONE,
+        NO if stop else YES,
+        YES if _DANGLING.search(last) or bare else NONE,
+        YES if _unclosed(text) else NONE,
+        YES if words and words[-1] in ALL_FUNCTION_WORDS and last[-1].isalpha() else NONE,
+        NO if listed else NONE,
+        NO if signed else NONE,
+        NO if _CLOSED.search(last) else NONE,
+        NO if len(r) < 4 else NONE,
+        NONE if item is not None or _TRAILS.search(last) else NO if stop else YES if _ENDED.search(text) else NONE,
     )
 
 
@@ -271,7 +271,7 @@ def votes(question: str | None, reply: str | None) -> tuple[tuple[int, ...], ...
     """The votes for each of DEFECTS."""
     seen, asked = visible(reply), visible(question)
     q, r = _WORDS.findall(asked.lower()), _WORDS.findall(seen.lower())
-    return (empty_votes(seen, r), copied_votes(question, seen, q, r), refusal_votes(seen, r, q), language_votes(asked, seen), truncated_votes(reply, r))
+    return (empty_votes(reply, seen, r), copied_votes(question, seen, q, r), refusal_votes(seen, r, q), language_votes(asked, seen), truncated_votes(reply, r))
 
 
 WIDTHS = tuple(len(v) for v in votes("a", "b"))

@@ -63,6 +63,8 @@ _LINK = re.compile(r"<a\s[^<>]*href[^<>]*>[^<>]{0,200}</a>|\[url=[^\[\]]*\][^\[\
 _HASHTAG = re.compile(r"(?<![\w#&])#[^\W\d_][\w-]*")
 _PRICE = re.compile(r"[$€£]\s?\d+(?:[.,]\d\d)?|\b\d+(?:[.,]\d\d)\s?(?:€|£|EUR|USD)")
 _LABEL = re.compile(r"\b(?:SKU|add to (?:cart|basket)|in stock|out of stock|on sale|sale|buy now|in den warenkorb|ajouter au panier|añadir al carrito|en stock|auf lager)\b", re.I)
+#: Every label holds one of these.
+_LABEL_PARTS = ("sku", "cart", "basket", "stock", "sale", "buy now", "warenkorb", "panier", "carrito", "lager")
 #: Signs of links, hashtags and prices.
 _PLACED = ("#", "http", "www.", "<a", "[url=", "$", "€", "£", "EUR", "USD")
 _STOP = re.compile(r"[.!?…]")
@@ -106,7 +108,7 @@ def _units(text: str, found: list[re.Match], words: list[str], counts: Counter)
 
     links = marked(_link_spans(text) if any(x in text for x in ("http", "www.", "<a", "[url=")) else [])
     tags = marked([m.span() for m in _HASHTAG.finditer(text)] if "#" in text else [])
-    labels = [m.span() for m in _LABEL.finditer(text)]
+    labels = _labels(text, text.lower())
     if any(x in text for x in ("$", "€", "£", "EUR", "USD")):
         labels += [m.span() for m in _PRICE.finditer(text)]
     wares = marked(labels)
@@ -136,20 +138,26 @@ def may_hold_units(text: str) -> bool:
     return any(x in often and y in often for x, y in zip(words, words[1:])) if often else False
 
 
-def spam_units(text: str) -> tuple[float, frozenset[str]]:
+def _labels(text: str, lowered: str) -> list[tuple[int, int]]:
+    return [m.span() for m in _LABEL.finditer(text)] if any(x in lowered for x in _LABEL_PARTS) else []
+
+
+def spam_units(text: str, words: list[str] | None = None) -> tuple[float, frozenset[str]]:
     """Share of the words that stand in any unit of spam, and the words of pairs that come again and again.
 
-    Where no unit can hang on its place, the words of offers are counted without looking for places.
+    Where no unit can hang on its place, the words of offers are counted without looking for places.  `words` are the
+    lower-cased words, if known.
     """
-    words = _WORD.findall(text.lower())
+    lowered = text.lower()
+    words = _WORD.findall(lowered) if words is None else words
     if not words:
         return 0.0, frozenset()
     counts = Counter(words)
     least = max(3, len(words) // 60)
-    often = {w for w, c in counts.items() if c >= least and w not in ALL_FUNCTION_WORDS}
+    often = {w for w, c in counts.items() if c >= least} - ALL_FUNCTION_WORDS
     again = Counter([x for x in zip(words, words[1:]) if x[0] in often and x[1] in often]) if often else {}
     pairs = frozenset(w for x, c in again.items() if c >= least for w in x if len(w) > 1 and w.isalpha())
-    if not pairs and not any(x in text for x in _PLACED) and not _LABEL.search(text):
+    if not pairs and not any(x in text for x in _PLACED) and not _labels(text, lowered):
         return sum(counts[w] for w in COMMERCE & counts.keys()) / len(words), pairs
     found = list(_WORD.finditer(text))
     words = [m.group().lower() for m in found]
