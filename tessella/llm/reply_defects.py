@@ -1,10 +1,11 @@
 """Defective replies: labelling functions for each defect, joined by an expectation-maximization label model.
 
-Every labelling function votes yes, no or abstains.  For each defect the votes of a record make a pattern; the model
-sees only the counts of the patterns over all records (at most 3 to the number of functions), estimates how each
-function votes on defective and on sound records, and gives the posterior of the defect for each pattern.  A record
-keeps every defect whose posterior exceeds that defect's cutoff (`labels`), or its most probable one (`defects`).
-The cutoffs are validated on hand-labelled pairs in the tests.
+Every labelling function looks at one thing, is wrong at times and votes yes, no or abstains; none of them makes the
+verdict of its defect.  For each defect the votes of a record make a pattern; the model sees only the counts of the
+patterns over all records, estimates how common the defect is and how each function votes on defective and on sound
+records, and gives the posterior of the defect for each pattern.  A record keeps every defect whose posterior exceeds
+that defect's cutoff (`labels`), or its most probable one (`defects`).  The cutoffs are validated on held-out
+hand-labelled pairs in the tests.
 
 A null reply is empty.  A null question leaves only `empty`, `refusal` and `truncated` to be told.  Repeated ids give
 one row.  Texts are read whole.  Extra columns are ignored.
@@ -15,9 +16,8 @@ from __future__ import annotations
 import html
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
-from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -195,13 +195,14 @@ def refusal_votes(seen: str, r: list[str], q: list[str] | tuple[str, ...] = ())
     text = seen.replace("’", "'").lower()
     sentences = [s for s in _SENTENCE.split(text.strip()) if s and _WORDS.search(s)]
     declines = [bool(_TRIGGER.search(s) and _DECLINE.search(s)) for s in sentences]
+    hedged = [d and bool(_HEDGE.search(s)) for s, d in zip(sentences, declines)]
     asked = set(q)
-    own = [(s, d, len(_WORDS.findall(s))) for s, d in zip(sentences, declines) if d or not asked or not _restates(s, asked)]
+    own = [(s, d and not h, len(_WORDS.findall(s))) for s, d, h in zip(sentences, declines, hedged) if d or not asked or not _restates(s, asked)]
     courteous = [bool(_COURTESY.match(s.strip(" \"'“*_>-"))) for s, _, _ in own]
     answers = any(not d and not c and n >= 4 for (_, d, n), c in zip(own, courteous))
     return (
         YES if any(declines) else NO,
-        NO if any(d and _HEDGE.search(s) for s, d in zip(sentences, declines)) else NONE,
+        NO if any(hedged) else NONE,
         NO if answers else YES,
         YES if any(courteous) or "guidelines" in text else NONE,
         NO if sum(n for *_, n in own) > 45 else NONE,
@@ -220,7 +221,7 @@ def language_votes(asked: str, seen: str) -> tuple[int, ...]:
     plain = lambda ws: sum(not w.isascii() for w in ws) / max(1, len(ws))
     told = [detect(letters_words(s), least=1.0, margin=1.3) for s in _SENTENCE.split(seen) if s]
     return (
-        NONE if lq is None or not got else YES if got.get(lq, 0.0) < most else NO,
+        NONE if lq is None or most < 1.4 else YES if got.get(lq, 0.0) < most else NO,
         NONE if lq is None or not any(told) else NO if lq in told else YES,
         NONE if lq is None or most < 1.4 else YES if got.get(lq, 0.0) <= 0.3 * most else NO,
         YES if abs(plain(qw) - plain(rw)) > 0.05 else NONE,
@@ -250,18 +251,19 @@ def truncated_votes(reply: str | None, r: list[str]) -> tuple[int, ...]:
     item = _ITEM.match(lines[-1])
     before = _ITEM.match(lines[-2]) if len(lines) > 1 else None
     bare = item is not None and not (item.group(1) or "").strip(" .")
-    listed = item is not None and not bare and (before is None or not before.group(1) or _FULL_STOP.search(before.group(1).strip()) is None)
+    words = letters_words(last)
+    hanging = bool(words) and words[-1] in ALL_FUNCTION_WORDS and last[-1].isalpha()
+    listed = item is not None and not bare and not hanging and (before is None or not before.group(1) or _FULL_STOP.search(before.group(1).strip()) is None)
     tail = re.split(r"(?<=[.!?”\"’')\]>`])\s+", last)[-1].strip(" .!*_")
     signed = bool(_SIGN_OFF.fullmatch(tail)) or bool(re.search(r"[.!?][\"”’')\]]*\s+[-–—]\s?\w+$", last))
-    words = letters_words(last)
     return (
         NO if stop else YES,
         YES if _DANGLING.search(last) or bare else NONE,
         YES if _unclosed(text) else NONE,
-        YES if words and words[-1] in ALL_FUNCTION_WORDS and last[-1].isalpha() else NONE,
+        YES if hanging else NONE,
         NO if listed else NONE,
         NO if signed else NONE,
-        NO if _CLOSED.search(last) else NONE,
+        NO if _CLOSED.search(last) and not _TRAILS.search(last) else NONE,
         NO if len(r) < 4 else NONE,
         NONE if item is not None or _TRAILS.search(last) else NO if stop else YES if _ENDED.search(text) else NONE,
     )
@@ -291,46 +293,71 @@ def _voter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch([batch.column("tbl"), batch.column("id"), *(pa.array(c, pa.int32()) for c in cols)], names=["tbl", "id", *DEFECTS])
 
 
+#: Chances, before any record is seen, that a function of the defect says (yes of a sound, no of a sound, yes of a
+#: defective, no of a defective record); it abstains otherwise.  In the order of the votes.
+BELIEFS = {
+    "empty": ((0.002, 0.996, 0.7, 0.298), (0.004, 0.99, 0.3, 0.01), (0.002, 0.001, 0.3, 0.001), (0.01, 0.001, 0.15, 0.001), (0.001, 0.85, 0.001, 0.01), (0.001, 0.2, 0.001, 0.02)),
+    "copied": ((0.03, 0.95, 0.95, 0.04), (0.1, 0.88, 0.95, 0.04), (0.05, 0.75, 0.5, 0.1), (0.02, 0.9, 0.85, 0.05), (0.1, 0.88, 0.95, 0.04)),
+    "refusal": ((0.01, 0.97, 0.96, 0.03), (0.001, 0.02, 0.0005, 0.0005), (0.08, 0.9, 0.98, 0.01), (0.03, 0.001, 0.5, 0.001), (0.001, 0.5, 0.001, 0.02), (0.3, 0.7, 0.8, 0.2)),
+    "language": ((0.03, 0.9, 0.95, 0.03), (0.02, 0.9, 0.9, 0.0005), (0.02, 0.9, 0.85, 0.1), (0.05, 0.001, 0.5, 0.001)),
+    "truncated": (
+        (0.12, 0.87, 0.8, 0.19), (0.0003, 0.001, 0.4, 0.001), (0.002, 0.001, 0.15, 0.001), (0.001, 0.001, 0.2, 0.001), (0.001, 0.1, 0.001, 0.0005),
+        (0.001, 0.05, 0.001, 0.0005), (0.001, 0.1, 0.001, 0.0005), (0.001, 0.1, 0.001, 0.0005), (0.05, 0.86, 0.75, 0.12),
+    ),
+}
+#: Of a function of which nothing is known but that it is better than chance.
+ANY = (0.05, 0.85, 0.8, 0.1)
+
+
 @dataclass
 class LabelModel:
-    """Two-class model of one defect: prior of the defect and P(vote | class, voted) of each labelling function."""
+    """Two-class model of one defect: its prior, and P(vote | class) of each labelling function, to abstain included.
+
+    The rates are the geometric mean of belief and count, the counts at weight `learn`; the prior is counted freely.
+    """
 
     width: int
-    strength: float = 20.0
+    beliefs: tuple[tuple[float, float, float, float], ...] | None = None
+    learn: float = 0.3
     prior: float = 0.02
     rates: np.ndarray = field(default_factory=lambda: np.zeros(0))
 
     def fit(self, counts: dict[int, int], rounds: int = 60) -> LabelModel:
-        patterns = np.array(list(product(range(3), repeat=self.width)))
-        codes = np.array([_code(tuple(p)) for p in patterns])
-        n = np.array([counts.get(int(c), 0) for c in codes], dtype=float)
-        belief = np.array([[0.0, 0.05, 0.95], [0.0, 0.88, 0.12]])  # a sound and a defective record: abstain, yes, no
-        pseudo = self.strength * belief
-        self.rates = np.repeat(belief[:, None, :], self.width, axis=1)
-        self.rates[:, :, NONE] = 1.0  # to abstain tells nothing
-        for _ in range(rounds):
+        stated = self.beliefs or (ANY,) * self.width
+        belief = np.array([[[1 - x[2 * c] - x[2 * c + 1], x[2 * c], x[2 * c + 1]] for x in stated] for c in (0, 1)])
+        belief = np.maximum(belief, 0.0002)
+        belief /= belief.sum(axis=2, keepdims=True)
+        self.rates = belief.copy()
+        patterns = np.array([_votes_of(c, self.width) for c in counts], dtype=int).reshape(-1, self.width)
+        n = np.array(list(counts.values()), dtype=float)
+        for _ in range(rounds if len(n) else 0):
             post = self._posterior(patterns)
             self.prior = float((n @ post + 1) / (n.sum() + 50))
             for c, w in ((0, n * (1 - post)), (1, n * post)):
                 for j in range(self.width):
-                    got = np.bincount(patterns[:, j], weights=w, minlength=3) + pseudo[c]
-                    got[NONE] = 0.0
-                    self.rates[c, j] = got / got.sum()
-                    self.rates[c, j, NONE] = 1.0
+                    got = np.bincount(patterns[:, j], weights=w, minlength=3)
+                    rate = belief[c, j] ** (1 - self.learn) * np.maximum(got / max(got.sum(), 1e-9), 1e-5) ** self.learn
+                    self.rates[c, j] = rate / rate.sum()
         return self
 
     def _posterior(self, patterns: np.ndarray) -> np.ndarray:
-        logs = [np.log(np.maximum(self.rates[c], 1e-12))[np.arange(self.width), patterns].sum(axis=1) for c in (0, 1)]
+        logs = [np.log(self.rates[c])[np.arange(self.width), patterns].sum(axis=1) for c in (0, 1)]
         odds = np.log(self.prior / (1 - self.prior)) + logs[1] - logs[0]
         return 1 / (1 + np.exp(-np.clip(odds, -500, 500)))
 
-    def posteriors(self) -> dict[int, float]:
-        patterns = np.array(list(product(range(3), repeat=self.width)))
-        return {_code(tuple(p)): float(x) for p, x in zip(patterns.tolist(), self._posterior(patterns))}
+    def posteriors(self, codes: Iterable[int] | None = None) -> dict[int, float]:
+        """The posterior of each pattern of votes; of all patterns that there can be, if none are given."""
+        codes = list(range(3**self.width)) if codes is None else list(codes)
+        patterns = np.array([_votes_of(c, self.width) for c in codes], dtype=int).reshape(-1, self.width)
+        return dict(zip(codes, self._posterior(patterns).tolist()))
+
+
+def _votes_of(code: int, width: int) -> list[int]:
+    return [code // 3 ** (width - 1 - j) % 3 for j in range(width)]
 
 
-#: Least posterior at which a label is kept.
-CUTOFFS = {"empty": 0.5, "copied": 0.5, "refusal": 0.5, "language": 0.5, "truncated": 0.5}
+#: Least posterior at which a label is kept: inside the gap between defective and sound held-out pairs.
+CUTOFFS = {"empty": 0.5, "copied": 0.7, "refusal": 0.4, "language": 0.5, "truncated": 0.45}
 
 
 def labels(pairs: DataFrame, cutoffs: dict[str, float] = CUTOFFS) -> DataFrame:
@@ -343,11 +370,11 @@ def labels(pairs: DataFrame, cutoffs: dict[str, float] = CUTOFFS) -> DataFrame:
         counts[row["defect"]][row["code"]] = row["count"]
     kept = []
     for d, width in zip(DEFECTS, WIDTHS):
-        model = LabelModel(width).fit(counts[d])
-        kept += [(d, code, p) for code, p in model.posteriors().items() if p >= cutoffs[d] and code in counts[d]]
+        model = LabelModel(width, BELIEFS[d]).fit(counts[d])
+        kept += [(d, code, p) for code, p in model.posteriors(counts[d]).items() if p >= cutoffs[d]]
     spark = pairs.sparkSession
     table = spark.createDataFrame(kept, "defect string, code int, posterior double") if kept else spark.createDataFrame([], "defect string, code int, posterior double")
-    return long.join(F.broadcast(table), ["defect", "code"]).groupBy("tbl", "id", "defect").agg(F.max("posterior").alias("posterior"))  # table: under 900 rows
+    return long.join(F.broadcast(table), ["defect", "code"]).groupBy("tbl", "id", "defect").agg(F.max("posterior").alias("posterior"))  # table: at most a row for each pattern of votes
 
 
 def defects(pairs: DataFrame, cutoffs: dict[str, float] = CUTOFFS) -> DataFrame:

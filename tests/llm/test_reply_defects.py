@@ -122,3 +122,92 @@ def test_typo_match_equals_all_comparisons():
                 twin = next((x for x in rest if _close(w, x)), None)
                 rest.remove(twin) if twin is not None else over.append(w)
             assert _matched(left, extra) == (len(extra) - len(over), over)
+
+
+FR = "Comment la porte de la tour fonctionne-t-elle quand le gardien est sur le mur ?"
+#: Pairs that no cutoff and no function was chosen on.
+HELD_OUT = [
+    *[(Q, x, "empty") for x in ("<br/>", "[removed]", "TODO", "( n/a )", "***", "​ ​", "Coming soon", "keine Antwort", "--")],
+    *[(FR, x, "copied") for x in (FR, FR.upper(), "« " + FR + " »", "Question : " + FR)],
+    *[(DE, x, "copied") for x in (DE, DE + " " + DE, DE.replace("Wächter", "Wachter"))],
+    *[(Q, x, "refusal") for x in ("We are not able to answer this.", "I won't discuss this question. Please ask a guard.", "Sorry, I must refuse to answer that.", "No advice can be given on this question.", "Thank you for asking. I cannot help with that.")],
+    *[(DE, x, "refusal") for x in ("Das kann ich leider nicht beantworten.", "Dabei kann ich dir nicht helfen, bitte frag einen Wächter.")],
+    *[(Q, x, "truncated") for x in (GOOD + " Each tower of the", GOOD + " The guard walks slowly", GOOD + " See [the map", GOOD + " He opens it,", GOOD + " She said: “the gate...", "- Open the gate.\n- Close the gate.\n-", GOOD + " (as the keeper")],
+    (Q, "La gardienne ouvre la porte de la tour, et le mur est haut. Elle ne trouve pas la clé dans la maison.", "language"),
+    (FR, "The guard opens the gate of the tower, and the wall is high. She does not find the key in the house.", "language"),
+    *[
+        (Q, x, None)
+        for x in (
+            "Never.", "Two or three.", GOOD + " Good luck!", GOOD + " Regards, Corben", GOOD + "\n\n1. Open the gate\n2. Close the gate", GOOD + " [source](p9)", GOOD + " 7 + 5 = 12",
+            "I can't emphasize it too much: each guard keeps a lamp at the gate.", "How does it interact? " + GOOD + " And the tower stays closed.", "Unfortunately, the gate closes at dusk. Each guard keeps a lamp.", "It is not allowed to open the gate at dusk, but each guard keeps a lamp.",
+        )
+    ],
+    (FR, "La gardienne ouvre la porte de la tour, et le mur est haut. La devise est “keep the gate”.", None),
+    (DE, "Der Wächter ist auf der Mauer.", None),
+    (Q, "It is written there. “Der Wächter ist nicht auf der Mauer, und das Tor ist offen.” That is the old motto of the tower.", None),
+    (Q, "The motto of it is there. “Der Wächter ist nicht auf der Mauer, und das Tor ist nicht offen.” It was put on the gate by a guard.", None),
+]
+
+
+def background(n=3000):
+    """Sound records of many kinds of endings, and a few defective ones."""
+    import random
+
+    rng = random.Random(2)
+    ends = [".", "!", ".", ".", ".", "", " Cheers, Merin", " :)", " (see p. 9)", " = 12", " Hope that helps", "\n- lamp\n- gate"]
+    rows = []
+    for i in range(n):
+        words = " ".join(rng.choice("the gate of a tower opens near our harbor and each guard keeps his lamp so that it burns".split()) for _ in range(rng.randrange(6, 30)))
+        sound = f"The guard waits for {i} days. {words}".rstrip() + rng.choice(ends)
+        rows.append(rng.choice([Q, Q, FR, DE]))
+        if rows[-1] != Q:
+            sound = (GOOD if rows[-1] == Q else "La porte est ouverte, et le gardien ne dort pas." if rows[-1] == FR else "Das Tor ist offen, und der Wächter schläft nicht.") + f" ({i})" + rng.choice([".", "!", "."])
+        rows[-1] = (rows[-1], rng.choice([None, "", "n/a", rows[-1], "I can't help with that.", sound.rsplit(" ", 2)[0] + " the"]) if rng.random() < 0.08 else sound)
+    return rows
+
+
+@pytest.fixture(scope="module")
+def judged(spark):
+    """The posteriors of all defects, whatever the cutoffs, of HELD_OUT among other records."""
+    rows = [("h", i, q, r) for i, (q, r, _) in enumerate(HELD_OUT)] + [("b", i, q, r) for i, (q, r) in enumerate(background())]
+    df = spark.createDataFrame(rows, "tbl string, id long, question string, reply string")
+    got = labels(df, dict.fromkeys(DEFECTS, 0.0)).filter("tbl = 'h'").collect()
+    return {(r.id, r.defect): r.posterior for r in got}
+
+
+def errors(judged, defect, cutoff):
+    """Held-out pairs of the defect under the cutoff, and sound ones over it; other defects may come besides."""
+    return sum((judged.get((i, defect), 0.0) >= cutoff) != (want == defect) for i, (_, _, want) in enumerate(HELD_OUT) if want in (defect, None))
+
+
+@pytest.mark.parametrize("defect", DEFECTS)
+def test_cutoffs_hold_on_pairs_they_were_not_chosen_on(judged, defect):
+    assert errors(judged, defect, CUTOFFS[defect]) == 0
+    assert errors(judged, defect, 0.0) > 0 and errors(judged, defect, 1.1) > 0
+
+
+def test_no_function_makes_the_verdict_alone():
+    """Every function by itself is wrong on some of the pairs, on which the model is right; two of those on language aren't wrong on these, but the one that counts words most plainly is."""
+    cast = [(votes(q, r), want) for q, r, want in LABELLED + HELD_OUT]
+    right = [(d, j) for k, d in enumerate(DEFECTS) for j in range(len(cast[0][0][k])) if all((v[k][j] == 1) == (want == d) for v, want in cast if want in (d, None))]
+    assert set(right) <= {("language", 1), ("language", 2)}
+
+
+def test_counts_move_the_model(spark):
+    """Rates and priors are learned: without the rounds, endings that only the counts tell from sound ones stay unflagged."""
+    from tessella.llm.reply_defects import BELIEFS, _code
+
+    seen = [_code(votes(q, r)[4]) for q, r in background()] + [_code(votes(q, r)[4]) for q, r, _ in LABELLED + HELD_OUT]
+    counts = {c: seen.count(c) for c in set(seen)}
+    width = len(votes("a", "b")[4])
+    fitted, stated = (LabelModel(width, BELIEFS["truncated"]).fit(counts, rounds=n).posteriors(counts) for n in (60, 0))
+    assert max(abs(fitted[c] - stated[c]) for c in counts) > 0.1
+
+
+def test_a_record_keeps_two_labels(spark):
+    both = [("t", 1, Q, "Der Wächter öffnet das Tor, und die Mauer ist hoch. Das Tor ist nicht offen, denn der"), ("t", 2, Q, "I can't help with that. I am not able to answer this, because the")]
+    rows = both + [("b", i, q, r) for i, (q, r) in enumerate(background())]
+    df = spark.createDataFrame(rows, "tbl string, id long, question string, reply string")
+    got = {(r.id, r.defect) for r in labels(df).filter("tbl = 't'").collect()}
+    assert got == {(1, "language"), (1, "truncated"), (2, "refusal"), (2, "truncated")}
+    assert {r.id for r in defects(df).filter("tbl = 't'").collect()} == {1, 2}
