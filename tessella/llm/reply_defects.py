@@ -166,14 +166,17 @@ def copied_votes(question: str | None, seen: str, q: list[str], r: list[str]) ->
         return (NONE, NO if r else NONE, NONE, NONE, NO if r else NONE)
     share, extra = overlap(q, r)
     asked = set(q)
-    stop = seen.rstrip(" \"”’'*_>)]\n")
+    stop = seen[-80:].rstrip(" \"”’'*_>)]\n")
+    asks = YES if stop.endswith("?") else NO if stop.endswith((".", "!")) else NONE
+    if share < 0.5:  # too little is met for order and sentences to tell anything
+        return (NO, YES if extra <= max(3, 0.25 * len(q)) else NO, asks, NO, NO if len(r) >= 4 else YES)
     neighbours = set(zip(q, q[1:])) or {(q[0], q[0])}
     kept = len(neighbours & set(zip(r, r[1:]))) / len(neighbours)
     more = sum(len(_WORDS.findall(s)) >= 4 and not _restates(s, asked) for s in _SENTENCE.split(seen.lower()) if s)
     return (
         YES if share >= 0.7 else NO,
         YES if extra <= max(3, 0.25 * len(q)) else NO,
-        YES if stop.endswith("?") else NO if stop.endswith((".", "!")) else NONE,
+        asks,
         YES if kept >= 0.5 else NO if kept < 0.2 else NONE,
         NO if more else YES,
     )
@@ -193,6 +196,8 @@ def refusal_votes(seen: str, r: list[str], q: list[str] | tuple[str, ...] = ())
     if not r:
         return (NONE,) * 6
     text = seen.replace("’", "'").lower()
+    if not _TRIGGER.search(text):  # no way to decline; then the rest is told by length alone
+        return (NO, NONE, NO if len(r) >= 4 else YES, NONE, NO if len(r) > 45 else NONE, NONE)
     sentences = [s for s in _SENTENCE.split(text.strip()) if s and _WORDS.search(s)]
     declines = [bool(_TRIGGER.search(s) and _DECLINE.search(s)) for s in sentences]
     hedged = [d and bool(_HEDGE.search(s)) for s, d in zip(sentences, declines)]
@@ -219,12 +224,14 @@ def language_votes(asked: str, seen: str) -> tuple[int, ...]:
     got = language_scores(rw)
     most = max(got.values(), default=0.0)
     plain = lambda ws: sum(not w.isascii() for w in ws) / max(1, len(ws))
-    told = [detect(letters_words(s), least=1.0, margin=1.3) for s in _SENTENCE.split(seen) if s]
+    other = NONE if lq is None or most < 1.4 else YES if got.get(lq, 0.0) < most else NO
+    # where the question's language leads, some sentence is in it
+    told = [lq] if other == NO else [] if lq is None else [detect(letters_words(s), least=1.0, margin=1.3) for s in _SENTENCE.split(seen) if s]
     return (
-        NONE if lq is None or most < 1.4 else YES if got.get(lq, 0.0) < most else NO,
+        other,
         NONE if lq is None or not any(told) else NO if lq in told else YES,
         NONE if lq is None or most < 1.4 else YES if got.get(lq, 0.0) <= 0.3 * most else NO,
-        YES if abs(plain(qw) - plain(rw)) > 0.05 else NONE,
+        YES if other != NO and abs(plain(qw) - plain(rw)) > 0.05 else NONE,
     )
 
 
