@@ -8,6 +8,11 @@ from pyspark.sql import functions as F
 from tessella.runtime import materialize
 
 
+def first_seen(rows: DataFrame, value: str, order: str) -> DataFrame:
+    """(value, order): each value once, with the least place at which it stands; sort by that for the first order."""
+    return rows.filter(F.col(value).isNotNull()).groupBy(value).agg(F.min(order).alias(order))
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """(node, root) for every node of the (a, b) edges; the root is the least node of the component.
 

@@ -76,6 +76,11 @@ def excerpts(text: Column, n: int, count: Column) -> Column:
     return around(text, count)
 
 
+def lookup(index: DataFrame, ngrams: DataFrame) -> DataFrame:
+    """The entries of the given n-grams, by equality of whole n-grams."""
+    return index.join(ngrams.select("ngram").distinct(), "ngram", "left_semi")
+
+
 def postings(index: DataFrame) -> DataFrame:
     """(word, key) for every distinct word of every n-gram.  Needs key, ngram."""
     return index.select("key", F.explode(F.array_distinct("ngram")).alias("word"))

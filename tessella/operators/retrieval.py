@@ -56,6 +56,32 @@ def retrieve(wide: DataFrame, top_k: int, upper: float = UPPER, lower: float = L
     return got.filter(F.col("rank") <= top_k)
 
 
+#: Least number of passages that are reranked (fixed value).
+RERANKED = 20
+
+
+def search(found: DataFrame, top_k: int, new_score: Column | None = None, upper: float = UPPER, lower: float = LOWER, threshold: float | None = None) -> DataFrame:
+    """The whole retrieval over found(query_id, rank, score, ..), which holds `WIDER` times as many as are reranked.
+
+    With `new_score` the first try takes the best `RERANKED`, or top_k if that is more, and reranks them; without it
+    the top_k best.  The second try takes `WIDER` times as many, is reranked likewise, and takes the place of the first
+    where only it has a correct passage.  What is left is cut to top_k.
+    """
+    wide = max(top_k, RERANKED) if new_score is not None else top_k
+
+    def attempt(n: int) -> DataFrame:
+        best = found.filter(F.col("rank") <= n)
+        return filter_tiers(best if new_score is None else rerank(best, new_score), upper, lower)
+
+    first, second = attempt(wide), attempt(WIDER * wide)
+    sure = confident(first, upper).filter("is_confident").select("query_id")
+    switch = confident(second, upper).filter("is_confident").select("query_id").join(sure, "query_id", "left_anti")
+    got = first.join(switch, "query_id", "left_anti").unionByName(second.join(switch, "query_id", "left_semi"))
+    if threshold is not None:
+        got = got.join(got.filter((F.col("rank") == 1) & (F.col("score") >= threshold)).select("query_id"), "query_id", "left_semi")
+    return got.filter(F.col("rank") <= top_k)
+
+
 def route(best: DataFrame, agents: list[str], default: str, threshold: float = 0.05) -> DataFrame:
     """(query_id, agent, score): the agent with the best top score of best(query_id, agent, score).
 

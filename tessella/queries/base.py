@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import unicodedata
+from functools import cache
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,22 @@ def sql_chain(x: str, rules: list[tuple[str, str]]) -> str:
         to = to.replace("$1", r"\1").replace("$2", r"\2").replace("\n", "' || chr(10) || '")
         x = f"regexp_replace({x}, '{pattern}', '{to}', '{flags}')"
     return x
+
+
+@cache
+def _compatible() -> str:
+    """Every character that compatibility composition changes, with what it becomes, by the Unicode tables."""
+    hexed = lambda x: "".join(f"chr({ord(c)})||" for c in x)[:-2]
+    got = ((chr(c), unicodedata.normalize("NFKC", chr(c))) for c in range(0x80, 0x2FA20) if not 0xD800 <= c < 0xE000)
+    return ", ".join(f"({hexed(k)}, {hexed(v)})" for k, v in got if k != v)
+
+
+def sql_nfkc(rows: str) -> str:
+    """CTEs ending in c(doc_id, t): the texts of `rows`(doc_id, t) in compatibility composition.
+
+    Each character is replaced by its own composition, and the whole is composed canonically.
+    """
+    return f"""m(k, v) AS (VALUES {_compatible()}), s0 AS (SELECT doc_id, t FROM {rows}),
+      x AS (SELECT doc_id, unnest(l) AS ch, unnest(range(1, len(l) + 1)) AS i FROM (SELECT doc_id, regexp_extract_all(t, '(?s).') AS l FROM s0 WHERE regexp_matches(t, '[^\\x00-\\x7F]'))),
+      y AS (SELECT doc_id, nfc_normalize(string_agg(coalesce(v, ch), '' ORDER BY i)) AS t FROM x LEFT JOIN m ON ch = k GROUP BY doc_id),
+      c AS (SELECT s0.doc_id, coalesce(y.t, s0.t) AS t FROM s0 LEFT JOIN y ON y.doc_id = s0.doc_id)"""

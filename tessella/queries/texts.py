@@ -10,7 +10,7 @@ from tessella.functions.game_text import generic_text, labelled, monster_text, r
 from tessella.functions.html_text import body_text, main_text
 from tessella.functions.text_rules import strip
 from tessella.operators import quality
-from tessella.queries.base import WS, r6, sql_chain, sql_lines, sql_strip, sql_tokens, table
+from tessella.queries.base import WS, r6, sql_chain, sql_lines, sql_nfkc, sql_strip, sql_tokens, table
 
 WEIGHTS = [("rules_*", 1.75), ("*_qa", 0.5), ("home?rew_*", 1.25), ("[mp]*", 0.75)]
 
@@ -164,6 +164,7 @@ SQL = {
     "quality_report": f"WITH {_QUALITY} SELECT doc_id, {_STATS}, CAST(n_reasons AS INT) AS n_reasons, n_reasons = 0 AS is_kept FROM v",
     "quality_kept": f"WITH {_QUALITY} SELECT doc_id, source FROM v WHERE n_reasons = 0",
     "clean_standard": f"WITH d AS (SELECT doc_id, {sql_strip(_T)} AS s FROM documents) SELECT doc_id, {sql_strip(_STANDARD)} AS clean FROM d",
+    "clean_nfkc": f"WITH {sql_nfkc(f'(SELECT doc_id, {_T} AS t FROM documents)')}, d AS (SELECT doc_id, {sql_strip('t')} AS s FROM c) SELECT doc_id, {sql_strip(_STANDARD)} AS clean FROM d",
     "clean_thorough": f"""WITH d AS (SELECT doc_id, {sql_strip(_T)} AS s FROM documents), e AS (SELECT doc_id, {_STANDARD} AS s FROM d),
       l AS (SELECT doc_id, array_to_string(list_filter({sql_lines('s')}, lambda x: len({sql_tokens('x')}) >= 4 OR {sql_strip('x')} = ''), chr(10)) AS s FROM e),
       p AS (SELECT doc_id, string_split(s, chr(10) || chr(10)) AS p FROM l),

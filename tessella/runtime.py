@@ -32,12 +32,18 @@ def shared_folder(spark: SparkSession) -> str:
     return local
 
 
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder; whatever lies there is removed when the program ends."""
+    path = f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    _written.append((spark, path))
+    return path
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write `df` to the shared folder and read it back: the lineage ends at the files."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+    path = scratch(spark, name)
     df.write.parquet(path)
-    _written.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -149,3 +149,16 @@ def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
         out = out.unionByName(more)
     listed = materialize(out.select("path", "input"), "file-names").withColumn("doc_idx", F.row_number().over(Window.orderBy("input", "path")) - 1)
     return out.join(broadcast_if_small(listed, listed.count(), 400), ["path", "input"]).drop("input")
+
+
+def ingest(spark: SparkSession, source: str | list[str], target: str, recursive: bool = False, level: Cleaning = Cleaning.STANDARD) -> int:
+    """Read all files of the source, clean them, and write (path, stem, ending, text, error, doc_idx) to `target`.
+
+    Web addresses are refused: fetching is left to a fetcher that writes files.  Returns the number of files with an error.
+    """
+    named = [source] if isinstance(source, str) else source
+    web = [x for x in named if x.split("://")[0].lower() in ("http", "https")]
+    if web:
+        raise ValueError(f"fetch {web[0]} to a folder first")
+    read_files(spark, source, recursive, level).write.parquet(target)
+    return spark.read.parquet(target).filter("error is not null").count()

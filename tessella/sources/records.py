@@ -108,6 +108,17 @@ def new_texts(found: DataFrame, known: DataFrame, key: str, least: int = 500, he
     return fresh if header is None else fresh.withColumn("text", F.concat(header, F.lit("\n\n"), "text"))
 
 
+def long_enough(texts: DataFrame, kind: str, least: dict[str, int]) -> DataFrame:
+    """Texts that have the least number of characters of their kind; kinds that aren't named keep all."""
+    bound = F.coalesce(*[F.when(F.col(kind) == k, n) for k, n in least.items()], F.lit(0))
+    return texts.filter(F.length(F.coalesce("text", F.lit(""))) >= bound)
+
+
+def open_items(files: DataFrame, restricted: str) -> DataFrame:
+    """Files of items that aren't restricted; an item of which nothing is known counts as open."""
+    return files.filter(~F.coalesce(F.col(restricted), F.lit(False)))
+
+
 def preferred_file(files: DataFrame, key: str, name: str) -> DataFrame:
     """Of each item the scanned text file, or else any text file."""
     rank = F.when(F.col(name).endswith("_djvu.txt"), 0).when(F.col(name).endswith(".txt"), 1)

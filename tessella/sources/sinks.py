@@ -15,6 +15,16 @@ def write_tokens(tokens: DataFrame, path: str) -> None:
     tokens.write.mode("overwrite").parquet(path)
 
 
+def read_tokens(spark: SparkSession, path: str) -> DataFrame:
+    """The token table; rows that haven't as many weights as tokens are an error."""
+    got = spark.read.parquet(path)
+    if "weights" in got.columns:
+        bad = got.filter(F.coalesce(F.size("ids"), F.lit(-1)) != F.coalesce(F.size("weights"), F.lit(-1))).limit(1).count()
+        if bad:
+            raise ValueError(f"tokens and weights of {path} differ in length")
+    return got
+
+
 def write_dropped(reports: DataFrame, path: str) -> None:
     """The documents that failed, with reasons and statistics, as JSON lines."""
     reports.filter("not is_kept").write.mode("overwrite").json(path)
@@ -53,9 +63,18 @@ def load_index(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, di
     return spark.read.parquet(f"{path}/index"), spark.read.parquet(f"{path}/sources"), facts
 
 
-def write_report(parts: dict[str, DataFrame], path: str) -> dict:
-    """One-row results as one JSON file; returns it."""
+def write_report(parts: dict[str, DataFrame], path: str, earlier: dict | None = None) -> dict:
+    """One-row results: the report as one JSON file under `path`/report, its numbers with their change against an
+    `earlier` report, as JSON lines under `path`/values.  Returns the report.
+    """
     report = {name: df.first().asDict(recursive=True) for name, df in parts.items()}
     spark = next(iter(parts.values())).sparkSession
-    spark.createDataFrame([(json.dumps(report, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(path)
+    spark.createDataFrame([(json.dumps(report, sort_keys=True, default=str),)], "value string").coalesce(1).write.mode("overwrite").text(f"{path}/report")
+    rows = []
+    for part, values in report.items():
+        for name, value in values.items():
+            if isinstance(value, (int, float)) and not isinstance(value, bool):
+                was = (earlier or {}).get(part, {}).get(name)
+                rows.append((part, name, float(value), None if was is None else float(value - was)))
+    spark.createDataFrame(rows, "part string, name string, value double, delta double").coalesce(1).write.mode("overwrite").json(f"{path}/values")
     return report

@@ -42,6 +42,19 @@ def refresh_stream(spark: SparkSession, folder: str, schema: str, transform, tar
     return source.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def run_to_end(stream: DataFrame, target: str, mode: str = "append") -> None:
+    """Read a streaming query to the end of its source; each batch's rows go to the table at `target`, with `_batch`.
+
+    The rows stay in the shared folder; nothing of them comes to the driver.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.withColumn("_batch", F.lit(number)).write.mode("append").parquet(target)
+
+    q = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{target}-state").trigger(availableNow=True).start()
+    q.awaitTermination()
+
+
 def activity(events: DataFrame, late: str = "2 hours", window: str = "1 hour") -> DataFrame:
     """Counts and sums of events by type and tumbling window, closed once the watermark has passed."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
