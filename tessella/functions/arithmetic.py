@@ -27,6 +27,76 @@ def _poisson(k: float, mu: float) -> float:
     return math.exp(k * math.log(mu) - mu - math.lgamma(k + 1)) if k >= 0 and mu > 0 else float(k == 0)
 
 
+def _rising(inside, p: float, low: float, high: float) -> float:
+    """The point at which a rising function takes the value p, by halving."""
+    if not 0 < p < 1:
+        raise ValueError("a probability lies between 0 and 1")
+    while inside(high) < p:
+        low, high = high, high * 2 + 1
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if inside(middle) < p else (low, middle)
+    return (low + high) / 2
+
+
+def _gamma_share(a: float, x: float) -> float:
+    """The regularized lower incomplete gamma function, by its series, or by its continued fraction far out."""
+    if x <= 0:
+        return 0.0
+    front = math.exp(a * math.log(x) - x - math.lgamma(a))
+    if x < a + 1:
+        term = total = 1 / a
+        n = a
+        while abs(term) > 1e-16 * abs(total):
+            n += 1
+            term *= x / n
+            total += term
+        return total * front
+    b, c = x + 1 - a, 1e300
+    d = 1 / b
+    h = d
+    for i in range(1, 1000):
+        k = -i * (i - a)
+        b += 2
+        d = 1 / (k * d + b)
+        c = b + k / c
+        h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return 1 - front * h
+
+
+def _beta_share(a: float, b: float, x: float) -> float:
+    """The regularized incomplete beta function, by its continued fraction."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(b, a, 1 - x)
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log(1 - x)) / a
+    c, d = 1.0, 1 / (1 - (a + b) * x / (a + 1))
+    h = d
+    for m in range(1, 500):
+        for k in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d = 1 / (1 + k * d)
+            c = 1 + k / c
+            h *= d * c
+        if abs(d * c - 1) < 1e-15:
+            break
+    return front * h
+
+
+def _chi2_ppf(p: float, df: float) -> float:
+    return _rising(lambda x: _gamma_share(df / 2, x / 2), p, 0.0, df + 1.0)
+
+
+def _t_ppf(p: float, df: float) -> float:
+    if p == 0.5:
+        return 0.0
+    if p < 0.5:
+        return -_t_ppf(1 - p, df)
+    return _rising(lambda t: 1 - _beta_share(df / 2, 0.5, df / (df + t * t)) / 2, p, 0.0, 2.0)
+
+
 # The names an expression may use.
 FUNCTIONS = {
     "abs": abs, "round": round, "min": min, "max": max,
@@ -34,7 +104,7 @@ FUNCTIONS = {
     "factorial": _whole(math.factorial), "comb": _whole(math.comb), "perm": _whole(math.perm), "gcd": _whole(math.gcd),
     "sin": math.sin, "cos": math.cos, "tan": math.tan, "asin": math.asin, "acos": math.acos, "atan": math.atan, "atan2": math.atan2,
     "degrees": math.degrees, "radians": math.radians, "log": math.log, "log2": math.log2, "log10": math.log10,
-    "norm_cdf": _normal.cdf, "norm_pdf": _normal.pdf, "norm_ppf": _normal.inv_cdf,
+    "norm_cdf": _normal.cdf, "norm_pdf": _normal.pdf, "norm_ppf": _normal.inv_cdf, "t_ppf": _t_ppf, "chi2_ppf": _chi2_ppf,
     "binom_pmf": _binomial, "binom_cdf": lambda k, n, p: sum(_binomial(i, n, p) for i in range(int(k) + 1)),
     "poisson_pmf": _poisson, "poisson_cdf": lambda k, mu: sum(_poisson(i, mu) for i in range(int(k) + 1)),
 }

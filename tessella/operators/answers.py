@@ -46,7 +46,7 @@ def parse_dumps(docs: DataFrame) -> DataFrame:
             kinds = (pa.int64(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.bool_())
             yield pa.record_batch([pa.array(c, k) for c, k in zip(cols, kinds)], names=["doc_id", "answer_no", "question", "answer", "answer_score", "accepted"])
 
-    marked = docs.select("doc_id", "text").filter(F.col("text").contains("## Answer"))
+    marked = docs.select("doc_id", "text").filter(F.col("text").rlike(r"##\s+Answer"))
     return marked.mapInArrow(run, "doc_id long, answer_no int, question string, answer string, answer_score long, accepted boolean")
 
 

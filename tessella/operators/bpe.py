@@ -13,6 +13,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tessella.runtime import materialize
+
 from tessella.functions.text_rules import runs
 
 # Special tokens by id, the split pattern, and the layout of ids.
@@ -193,10 +195,16 @@ def learn(counts: dict[str, int], size: int, start: Vocabulary | None = None) ->
 
 
 def train(texts: DataFrame, size: int, text: str = "text", most_words: int = 2_000_000, start: Vocabulary | None = None) -> Vocabulary:
-    """A vocabulary from all texts: counting is distributed; the distinct words come to the driver, the most frequent
-    `most_words` of them, which is the documented bound of what the driver holds."""
-    rows = word_counts(texts, text).orderBy(F.desc("n"), "word").limit(most_words).toLocalIterator()
-    return learn({r.word: r.n for r in rows}, size, start)
+    """A vocabulary from all texts: counting is distributed; the distinct words come to the driver.
+
+    More than `most_words` of them are an error, never a shorter list: raise the bound, and the driver's memory with it
+    (some 300 bytes a word), or train on fewer texts.
+    """
+    counts = materialize(word_counts(texts, text), "word-counts")
+    n = counts.count()
+    if n > most_words:
+        raise ValueError(f"{n} distinct words are more than the driver may hold ({most_words})")
+    return learn({r.word: r.n for r in counts.toLocalIterator()}, size, start)
 
 
 def encode(c: Column, vocabulary: Vocabulary, end: bool = False) -> Column:

@@ -131,12 +131,25 @@ def stopping_point(evaluations: Iterator[Sequence[float]], patience: int = 3, se
 def smoothed(runs: DataFrame, run: str, step: str, loss: str, beta: float = 0.9) -> DataFrame:
     """`runs` with `smooth`: exponentially weighted losses, corrected for their start, in each run's step order.
 
-    A run's steps are gathered in one row; runs are short (hundreds of steps).
+    A run's steps are gathered in one row and folded in one pass; runs are short (hundreds of steps).
     """
-    order = Window.partitionBy(run).orderBy(step)
-    past = runs.withColumn("_i", F.row_number().over(order)).withColumn("_past", F.collect_list(loss).over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    mean = F.aggregate("_past", F.lit(0.0), lambda a, x: a * beta + x * (1 - beta))
-    return past.withColumn("smooth", mean / (F.lit(1.0) - F.pow(F.lit(beta), F.col("_i")))).drop("_i", "_past")
+
+    @F.pandas_udf("array<double>")
+    def fold(losses: pd.Series) -> pd.Series:
+        out = []
+        for xs in losses:
+            held, got = 0.0, []
+            for i, x in enumerate(xs, 1):
+                held = beta * held + (1 - beta) * x
+                got.append(held / (1 - beta**i))
+            out.append(got)
+        return pd.Series(out)
+
+    rest = [c for c in runs.columns if c not in (run, step)]
+    gathered = runs.groupBy(run).agg(F.array_sort(F.collect_list(F.struct(step, *rest))).alias("_steps"))
+    folded = gathered.withColumn("_smooth", fold(F.transform("_steps", lambda x: x[loss].cast("double"))))
+    each = folded.select(run, F.explode(F.arrays_zip("_steps", "_smooth")).alias("_e"))
+    return each.select(*[F.col(run) if c == run else F.col(f"_e._steps.{c}").alias(c) for c in runs.columns], F.col("_e._smooth").alias("smooth"))
 
 
 def suggested_rate(rates: Sequence[float], losses: Sequence[float]) -> tuple[float, float] | None:

@@ -106,11 +106,14 @@ def repetition_penalty(logits: Column, seen: Column, penalty: float) -> Column:
     return F.transform(logits, lambda x, i: F.when(F.array_contains(seen, i), F.when(x > 0, x / penalty).otherwise(x * penalty)).otherwise(x))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with the value worked out once instead of once in every place and for every element."""
+    return F.transform(F.array(value), use)[0]
+
+
 def softmax(logits: Column) -> Column:
-    top = F.array_max(logits)
-    raised = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(raised, F.lit(0.0), lambda a, x: a + x)
-    return F.transform(raised, lambda x: x / total)
+    raised = _bound(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp(x - top)))
+    return _bound(raised, lambda r: _bound(F.aggregate(r, F.lit(0.0), lambda a, x: a + x), lambda total: F.transform(r, lambda x: x / total)))
 
 
 def entropy_temperature(logits: Column, low: float = 0.5, high: float = 1.3) -> Column:
@@ -123,7 +126,7 @@ def entropy_temperature(logits: Column, low: float = 0.5, high: float = 1.3) ->
 def keep_top_k(logits: Column, k: int) -> Column:
     """Logits under the k-th highest become minus infinity."""
     least = F.get(F.sort_array(logits, asc=False), F.least(F.lit(k), F.size(logits)) - 1)
-    return F.transform(logits, lambda x: F.when(x < least, F.lit(float("-inf"))).otherwise(x))
+    return _bound(least, lambda low: F.transform(logits, lambda x: F.when(x < low, F.lit(float("-inf"))).otherwise(x)))
 
 
 def keep_top_p(logits: Column, p: float) -> Column:
@@ -134,4 +137,4 @@ def keep_top_p(logits: Column, p: float) -> Column:
     ranked = F.array_sort(F.transform(F.arrays_zip(logits.alias("x"), softmax(logits).alias("q")), lambda e, i: F.struct((-e["x"]).alias("neg"), i.alias("i"), e["q"].alias("q"))))
     start = F.struct(F.lit(0.0).alias("sum"), F.array().cast("array<int>").alias("kept"))
     kept = F.aggregate(ranked, start, lambda a, e: F.struct((a["sum"] + e["q"]).alias("sum"), F.when(a["sum"] <= p, F.concat(a["kept"], F.array(e["i"]))).otherwise(a["kept"]).alias("kept")))["kept"]
-    return F.transform(logits, lambda x, i: F.when(F.array_contains(kept, i), x).otherwise(F.lit(float("-inf"))))
+    return _bound(kept, lambda held: F.transform(logits, lambda x, i: F.when(F.array_contains(held, i), x).otherwise(F.lit(float("-inf")))))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.stemming import stems, token_array
 from tessella.functions.text_rules import runs
+from tessella.runtime import broadcast_if_small, materialize
 
 
 def ngrams(tokens: Column, n: int = 4) -> Column:
@@ -100,8 +101,9 @@ def retrieve(index: DataFrame, queries: DataFrame, top_k: int = 5, stemmed: bool
     """
     asked = query_words(queries, stemmed=stemmed)
     sizes = index.select("key", "frequency", F.size(F.array_distinct("ngram")).alias("n_words"))
-    words = asked.select("query_id", F.size("words").alias("n_query"), F.explode("words").alias("word"))
-    met = postings(index).join(words, "word").groupBy("query_id", "key").agg(F.count("*").alias("both"), F.first("n_query").alias("n_query"))
+    words = materialize(asked.select("query_id", F.size("words").alias("n_query"), F.explode("words").alias("word")), "query-words")
+    # where the queries' words fit, postings stay in place: no word is a shuffle key, and counts are combined as they arise
+    met = postings(index).join(broadcast_if_small(words, words.count(), 64), "word").groupBy("query_id", "key").agg(F.count("*").alias("both"), F.first("n_query").alias("n_query"))
     scored = met.join(sizes, "key").withColumn("score", F.col("both") / (F.col("n_words") + F.col("n_query") - F.col("both")))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc("frequency"), "key")
     return scored.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top_k).select("query_id", "rank", "key", "score")

@@ -8,6 +8,7 @@ are one node, so that a bucket of copies costs a row per copy and not a pair per
 from __future__ import annotations
 
 import hashlib
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -18,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessella.operators.graphs import components
-from tessella.runtime import materialize
+from tessella.runtime import broadcast_if_small, materialize
 
 
 @dataclass(frozen=True)
@@ -96,6 +97,30 @@ def band_keys(signatures: DataFrame, p: MinHash) -> DataFrame:
     return signatures.select("node", F.explode(keys).alias("e")).select("node", "e.band", "e.key")
 
 
+def bucket_pairs(rows: DataFrame, block: int = 512) -> DataFrame:
+    """(a, b): the pairs of nodes of each bucket, once a bucket.  Needs node, bucket.
+
+    Buckets of over `block` nodes are cut into blocks, and every two blocks are joined by themselves, so that no task
+    holds a whole large bucket.
+    """
+    rows = materialize(rows, "buckets")
+    large = materialize(rows.groupBy("bucket").agg(F.count("*").alias("c")).filter(F.col("c") > block).select("bucket", F.ceil(F.col("c") / block).cast("int").alias("blocks")), "large-buckets")
+    n = large.count()
+    if not n:
+        x, y, on = rows.alias("x"), rows.alias("y"), ["bucket"]
+    else:
+        cut = rows.join(broadcast_if_small(large, n, 16), "bucket", "left").withColumn("block", F.when(F.col("blocks").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")))
+        cell = F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1))
+        # an entry meets the blocks from its own on as left side, and those up to its own as right side; of its own both
+        sent = cut.select("bucket", "node", "block", cell.alias("other"))
+        left = sent.filter("other >= block").select("bucket", F.col("block").alias("i"), F.col("other").alias("j"), "node")
+        right = sent.filter("other <= block").select("bucket", F.col("other").alias("i"), F.col("block").alias("j"), "node")
+        x, y, on = left.alias("x"), right.alias("y"), ["bucket", "i", "j"]
+        met = x.join(y, on).filter((F.col("i") != F.col("j")) | (F.col("x.node") < F.col("y.node")))
+        return met.select(F.least("x.node", "y.node").alias("a"), F.greatest("x.node", "y.node").alias("b"))
+    return x.join(y, on).filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+
+
 def similar_pairs(docs: DataFrame, p: MinHash = MinHash()) -> tuple[DataFrame, DataFrame]:
     """(members, pairs): (id, node) with one node per distinct signature, and confirmed (a, b) pairs of nodes.
 
@@ -104,8 +129,7 @@ def similar_pairs(docs: DataFrame, p: MinHash = MinHash()) -> tuple[DataFrame, D
     signed = materialize(docs.select("id", signature(F.col("text"), p).alias("signature")).filter("signature is not null"), "signatures")
     members = signed.select("id", F.xxhash64("signature").alias("node"))
     nodes = signed.select(F.xxhash64("signature").alias("node"), "signature").dropDuplicates(["node"])
-    bands = band_keys(nodes, p)
-    pairs = bands.alias("x").join(bands.alias("y"), ["band", "key"]).filter("x.node < y.node").select(F.col("x.node").alias("a"), F.col("y.node").alias("b")).distinct()
+    pairs = bucket_pairs(band_keys(nodes, p).select("node", F.xxhash64("band", "key").alias("bucket"))).distinct()
     sides = nodes.select(F.col("node").alias("a"), F.col("signature").alias("sa")), nodes.select(F.col("node").alias("b"), F.col("signature").alias("sb"))
     confirmed = pairs.join(sides[0], "a").join(sides[1], "b").filter(agreement(F.col("sa"), F.col("sb"), p) >= p.threshold).select("a", "b")
     return members, confirmed
@@ -130,12 +154,22 @@ def kept_ids(docs: DataFrame, p: MinHash = MinHash()) -> DataFrame:
 def matches_of_new(new: DataFrame, everything: DataFrame, p: MinHash) -> DataFrame:
     """(a, b, similarity): pairs of a new document and any other, each pair once, similarity as signature agreement.
 
-    Positions that agree are joined on (position, value), so that only documents that share some are ever paired.
+    Signatures that agree on enough positions differ on few, so of one more group of positions than may differ at
+    least one group is equal as a whole.  Documents meet on whole groups, which loses no pair and keeps the keys rare;
+    pairs are then confirmed on the signatures.
     """
-    def cells(docs: DataFrame) -> DataFrame:
-        return docs.select("id", F.posexplode(signature(F.col("text"), p)).alias("pos", "value"))
+    n_groups = p.permutations - max(1, math.ceil(p.threshold * p.permutations - 1e-9)) + 1
+    cuts = [round(i * p.permutations / n_groups) for i in range(n_groups + 1)]
+
+    def signed(docs: DataFrame, name: str) -> DataFrame:
+        return materialize(docs.select("id", signature(F.col("text"), p).alias("signature")).filter("signature is not null"), name)
+
+    def keys(docs: DataFrame, side: str) -> DataFrame:
+        groups = F.array(*[F.struct(F.lit(g).alias("g"), F.xxhash64(F.slice("signature", cuts[g] + 1, cuts[g + 1] - cuts[g])).alias("key")) for g in range(n_groups)])
+        return docs.select(F.col("id").alias(side), F.explode(groups).alias("e")).select(side, "e.g", "e.key")
 
-    left = cells(new)
-    met = left.alias("x").join(cells(everything).alias("y"), ["pos", "value"]).filter("x.id <> y.id").groupBy(F.col("x.id").alias("x"), F.col("y.id").alias("y")).agg(F.count("*").alias("n"))
-    scored = met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), (F.col("n") / F.lit(float(p.permutations))).alias("similarity"))
+    left, right = signed(new, "new-signatures"), signed(everything, "signatures")
+    met = keys(left, "x").join(keys(right, "y"), ["g", "key"]).filter("x <> y").select("x", "y").distinct()
+    sides = left.select(F.col("id").alias("x"), F.col("signature").alias("sx")), right.select(F.col("id").alias("y"), F.col("signature").alias("sy"))
+    scored = met.join(sides[0], "x").join(sides[1], "y").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), agreement(F.col("sx"), F.col("sy"), p).alias("similarity"))
     return scored.filter(F.col("similarity") >= p.threshold).distinct()

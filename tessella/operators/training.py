@@ -8,7 +8,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessella.runtime import materialize
+from tessella.runtime import broadcast_if_small, materialize
 
 # Ids of the special tokens, and the label that losses ignore.
 PAD, BOS, EOS, SEP, USR, AST = range(6)
@@ -19,21 +19,17 @@ BLOCKS, SPLIT_SEED = 500, 0
 def with_offsets(docs: DataFrame, size: str, order: str, part_rows: int = 50_000) -> DataFrame:
     """`docs` with `start_off` and `end_off`: running sums of `size` in the given order.
 
-    Two levels: sums of ranges of the order, then sums inside each range, so no task orders all documents.  The ranges
-    are cut at quantiles of `order`, about `part_rows` documents each; only their sums, one row each, meet in one task.
+    Two levels: the rows are range-partitioned by `order`, about `part_rows` to a part, and written out with the number
+    of their part; only the sums of the parts, one row each, meet in one task.  The plan is the same for any number of
+    rows.
     """
-    docs = materialize(docs, "sized-docs")
-    n = docs.count()
-    parts = max(1, -(-n // part_rows))
-    cuts = [] if parts == 1 else sorted(set(docs.approxQuantile(order, [i / parts for i in range(1, parts)], 0.001)))
-    part = F.lit(0)
-    for c in cuts:
-        part = part + (F.col(order) > F.lit(c)).cast("int")
-    d = docs.withColumn("_part", part)
+    parts = max(1, -(-docs.count() // part_rows))
+    ranged = docs.repartitionByRange(parts, order) if parts > 1 else docs.coalesce(1)
+    d = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranged-docs")
     sums = d.groupBy("_part").agg(F.sum(size).alias("_sum"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     inside = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
-    out = d.join(F.broadcast(base), "_part").withColumn("end_off", F.col("_base") + inside)  # a row per 50,000 documents
+    out = d.join(broadcast_if_small(base, parts, 16), "_part").withColumn("end_off", F.col("_base") + inside)
     return out.withColumn("start_off", F.col("end_off") - F.col(size)).drop("_part", "_base")
 
 
@@ -92,17 +88,51 @@ def tier_split(docs: DataFrame, val_split: float, seq_len: int, seed: int = SPLI
     return d.select(*docs.columns, takes.alias("is_val"))
 
 
+def _first_by_hash(df: DataFrame, n: int, keys: tuple[str, ...], seed: int) -> tuple[DataFrame, DataFrame]:
+    """The first n rows in a hash order of the keys, and the others.
+
+    The order is cut into 65,536 cells; their counts tell in which cell the n-th row lies, and only that cell is sorted.
+    """
+    d = df.withColumn("_key", hash_order(*[F.col(k) for k in keys], seed=seed)).withColumn("_cell", F.substring("_key", 1, 4))
+    cells = d.groupBy("_cell").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("_cell")))  # 65,536 rows at most
+    edge = cells.filter(F.col("upto") >= n).orderBy("_cell").select("_cell", (F.col("upto") - F.col("c")).alias("before")).first()
+    if n <= 0 or edge is None:
+        return (df, df.limit(0)) if n > 0 else (df.limit(0), df)
+    ranked = d.filter(F.col("_cell") == edge["_cell"]).withColumn("_i", F.row_number().over(Window.partitionBy("_cell").orderBy("_key", *keys)))
+    cut, own = n - edge["before"], df.columns
+    first = d.filter(F.col("_cell") < edge["_cell"]).select(own).unionByName(ranked.filter(F.col("_i") <= cut).select(own))
+    return first, d.filter(F.col("_cell") > edge["_cell"]).select(own).unionByName(ranked.filter(F.col("_i") > cut).select(own))
+
+
 def exact_sample(df: DataFrame, n: int, *keys: str, seed: int = 0) -> DataFrame:
     """n rows in a hash order of the keys; all rows if there are no more."""
-    return df.orderBy(hash_order(*[F.col(k) for k in keys], seed=seed), *keys).limit(n)
+    return _first_by_hash(df, n, keys, seed)[0]
 
 
 def example_split(df: DataFrame, val_fraction: float, *keys: str, seed: int = 0) -> DataFrame:
     """`df` with `is_val`: a hash-ordered share, at least one row and at most all but one."""
     n = df.count()
-    held = min(max(1, round(n * val_fraction)), max(n - 1, 0))
-    chosen = exact_sample(df.select(*keys), held, *keys, seed=seed).withColumn("is_val", F.lit(True))
-    return df.join(chosen, list(keys), "left").withColumn("is_val", F.coalesce("is_val", F.lit(False)))
+    held, rest = _first_by_hash(df, min(max(1, round(n * val_fraction)), max(n - 1, 0)), keys, seed)
+    return held.withColumn("is_val", F.lit(True)).unionByName(rest.withColumn("is_val", F.lit(False)))
+
+
+def choose_split(docs: DataFrame, seq_len: int, val_split: float, held: DataFrame | None = None, tiers: bool = True) -> DataFrame:
+    """`docs`(doc_id, weight, n_tokens) with `is_val`, by the first way that applies.
+
+    Documents of a separate validation table `held` are the held-out ones, and all of `docs` is trained on; else a share
+    of every weight tier; else, with `tiers` off, documents that begin in a held-out block; else, with no share
+    asked for, none.
+    """
+    if held is not None:
+        return docs.withColumn("is_val", F.lit(False)).unionByName(held.select(docs.columns).withColumn("is_val", F.lit(True)))
+    if val_split <= 0:
+        return docs.withColumn("is_val", F.lit(False))
+    if tiers:
+        return tier_split(docs, val_split, seq_len)
+    laid = with_offsets(docs, "n_tokens", "doc_id")
+    total = laid.agg(F.max("end_off")).first()[0] or 0
+    blocks = docs.sparkSession.createDataFrame(block_split(total, val_split, seq_len) if total else [], "b_start long, b_end long, is_val boolean")
+    return laid.join(F.broadcast(blocks), (F.col("start_off") >= F.col("b_start")) & (F.col("start_off") < F.col("b_end")), "left").select(*docs.columns, F.coalesce("is_val", F.lit(False)).alias("is_val"))  # at most BLOCKS rows
 
 
 def pad_left(ids: Column, length: Column | int, pad: int = PAD) -> Column:

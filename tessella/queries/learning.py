@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +14,7 @@ from tessella.plans import corpus
 from tessella.queries import corpora, texts
 from tessella.queries.base import WS, r6, sql_lines, sql_strip, sql_tokens, table
 from tessella.queries.texts import WEIGHTS
+from tessella.runtime import scratch
 from tessella.streaming import conversations
 
 SEQ, STRIDE = 256, 128
@@ -81,9 +80,11 @@ def right_padded(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def shifted_targets(spark: SparkSession, folder: str) -> DataFrame:
-    ids = F.slice(F.transform(tokens(F.coalesce("excerpt", F.lit(""))), lambda w: F.length(w)), 1, 17)
-    d = table(spark, folder, "ngram_index").select("entry_id", ids.alias("ids")).distinct().filter("size(ids) = 17")
-    return d.select("entry_id", F.array_join(training.shifted_targets(F.col("ids"), 16, 1), " ").alias("next"), F.array_join(training.shifted_targets(F.col("ids"), 16, 3), " ").alias("third"))
+    """Targets of all windows of all excerpts, sixteen positions to a window; the last one is filled up."""
+    d = table(spark, folder, "ngram_index").select("entry_id", F.transform(tokens(F.coalesce("excerpt", F.lit(""))), lambda w: F.length(w)).alias("ids")).distinct()
+    starts = F.sequence(F.lit(0), F.floor((F.size("ids") - 2) / 16).cast("int"))
+    w = d.filter("size(ids) >= 2").select("entry_id", "ids", F.explode(starts).alias("win_no")).select("entry_id", "win_no", F.slice("ids", F.col("win_no") * 16 + 1, 17).alias("ids"))
+    return w.select("entry_id", "win_no", F.array_join(training.shifted_targets(F.col("ids"), 16, 1), " ").alias("next"), F.array_join(training.shifted_targets(F.col("ids"), 16, 3), " ").alias("third"))
 
 
 def chat_examples(spark: SparkSession, folder: str) -> DataFrame:
@@ -234,7 +235,7 @@ def value_prefixes(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def logit_filters(spark: SparkSession, folder: str) -> DataFrame:
-    e = table(spark, folder, "embeddings").select("vec_id", F.slice(F.transform("embedding", lambda x: x.cast("double") * 10), 1, 12).alias("x"))
+    e = table(spark, folder, "embeddings").select("vec_id", F.transform("embedding", lambda x: x.cast("double") * 10).alias("x"))
     kept = lambda c: F.size(F.filter(c, lambda v: v > float("-inf")))
     return e.select("vec_id", kept(guards.keep_top_k(F.col("x"), 5)).alias("top_k"), kept(guards.keep_top_p(F.col("x"), 0.9)).alias("top_p"), F.round(guards.entropy_temperature(F.col("x")), 4).alias("temperature"))
 
@@ -293,23 +294,15 @@ def unit_vectors(spark: SparkSession, folder: str) -> DataFrame:
     return e.select("vec_id", F.round(F.aggregate("u", F.lit(0.0), lambda a, x: a + x * x), 6).alias("length"))
 
 
-def _streamed(spark: SparkSession, source: DataFrame, path: str, transform, mode: str) -> DataFrame:
-    """The rows of a streaming query over files that it reads to their end."""
-    name = "stream_" + path.rpartition("/")[2].replace(".", "_") + f"_{abs(hash(path)) % 10**8}"
-    stream = transform(spark.readStream.schema(source.schema).option("maxFilesPerTrigger", 4).parquet(path))
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name)
-
-
 def streamed_activity(spark: SparkSession, folder: str) -> DataFrame:
-    path = tempfile.mkdtemp() if spark.sparkContext.master.startswith("local") else None
-    from tessella.runtime import shared_folder
-
-    target = f"{path or shared_folder(spark)}/events"
-    table(spark, folder, "events").write.mode("overwrite").parquet(target)
-    got = _streamed(spark, spark.read.parquet(target), target, lambda s: conversations.activity(s.withColumn("ts", F.col("ts").cast("timestamp"))), "complete")
-    return got.select(F.col("window.start").cast("string").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+    """Counts and sums by hour and type as a stream brings them up to date; the last state of each is in the table."""
+    path, target = scratch(spark, "events"), scratch(spark, "activity")
+    events = table(spark, folder, "events")
+    events.write.parquet(path)
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    conversations.run_to_end(conversations.activity(stream.withColumn("ts", F.col("ts").cast("timestamp"))), target, "update")
+    state = spark.read.parquet(target).groupBy("window", "event_type").agg(F.max_by(F.struct("n", "total"), "_batch").alias("s"))
+    return state.select(F.col("window.start").cast("string").alias("hour"), "event_type", "s.n", F.round("s.total", 4).alias("total"))
 
 
 QUERIES = [doc_offsets, window_offsets, window_weights, block_split, tier_split, exact_sample, example_split, weighted_draws, padded_batches, right_padded, shifted_targets, chat_examples, difficulty_weights, schedules, grouped_batches, weight_histogram, length_summary, tier_losses, loss_summary, smoothed_losses, keyword_recall, hit_rate, window_f1, qa_parsed, qa_filtered, qa_ranked, qa_context, qa_finetune, qa_blocks, template_examples, entity_pairs, history_pack, role_messages, conversation_prompts, generation_hints, loop_guards, value_prefixes, logit_filters, arithmetic, tool_tags, bpe_tokens, pair_counts, prepared_corpus, unit_vectors, synthetic_texts, validated_examples, window_neighbours, streamed_activity]
@@ -353,7 +346,8 @@ SQL = {
     "padded_batches": """WITH l AS (SELECT l_orderkey, list(l_linenumber ORDER BY l_linenumber) AS ids FROM lineitem GROUP BY l_orderkey), m AS (SELECT *, max(len(ids)) OVER (PARTITION BY l_orderkey % 500) AS n FROM l)
       SELECT l_orderkey, repeat('0 ', n - len(ids)) || array_to_string(ids, ' ') AS ids, repeat('-100 ', n - len(ids)) || array_to_string(ids, ' ') AS labels, rtrim(repeat('0 ', n - len(ids)) || repeat('1 ', len(ids))) AS mask FROM m""",
     "right_padded": f"WITH d AS (SELECT DISTINCT entry_id, list_concat([1], {_LEN("coalesce(excerpt, '')")})[1:40] AS ids FROM ngram_index) SELECT DISTINCT entry_id, {_JOIN('ids')} || repeat(' 0', 40 - len(ids)) AS ids FROM d",
-    "shifted_targets": f"WITH d AS (SELECT DISTINCT entry_id, {_LEN("coalesce(excerpt, '')", 0)}[1:17] AS ids FROM ngram_index) SELECT entry_id, {_JOIN('ids[2:17]')} AS next, {_JOIN('ids[4:17]')} || ' -100 -100' AS third FROM d WHERE len(ids) = 17",
+    "shifted_targets": f"""WITH d AS (SELECT DISTINCT entry_id, {_LEN("coalesce(excerpt, '')", 0)} AS ids FROM ngram_index), w AS (SELECT entry_id, CAST(unnest(range(0, (len(ids) - 2) // 16 + 1)) AS INT) AS k, ids FROM d WHERE len(ids) >= 2), s AS (SELECT entry_id, k AS win_no, ids[16 * k + 1:16 * k + 17] AS ids FROM w)
+      SELECT entry_id, win_no, {_JOIN("ids[2:] || list_transform(range(17 - len(ids)), lambda i: -100)")} AS next, {_JOIN("ids[4:] || list_transform(range(least(19 - len(ids), 16)), lambda i: -100)")} AS third FROM s""",
     "chat_examples": f"""WITH d AS (SELECT DISTINCT example_id, {_LEN("coalesce(user_text, prompt, '')")} AS u, {_LEN("coalesce(CASE WHEN user_text IS NULL THEN response ELSE assistant END, '')")} AS a, {_LEN("coalesce(context, '')")} AS c FROM finetune_examples),
       p AS (SELECT example_id, list_concat(CASE WHEN len(c) > 0 THEN list_concat(list_concat([1, 3], c), [3, 4]) ELSE [1, 4] END, list_concat(u, [5])) AS p, list_concat(a, [2]) AS r FROM d WHERE len(u) > 0 AND len(a) > 0),
       f AS (SELECT example_id, len(p) AS np, CASE WHEN len(p) + len(r) > 96 THEN list_concat(list_concat(p, r)[1:95], [2]) ELSE list_concat(p, r) END AS f FROM p), m AS (SELECT *, least(np, len(f)) - 1 AS m FROM f)
@@ -408,9 +402,9 @@ SQL = {
       SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part) - 1 AS INT) AS answer_no, title AS question, answer, CAST(regexp_extract(h, 'score:\\s*(-?[0-9]+)', 1) AS BIGINT) AS answer_score, contains(h, '(accepted)') AS accepted FROM f WHERE answer <> ''""",
     "streamed_activity": "SELECT CAST(date_trunc('hour', ts) AS VARCHAR) AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL",
     "arithmetic": "SELECT p_partkey, p_size || ' * (' || p_partkey || ' + 2) = ' || (p_size * (p_partkey + 2)) AS answer FROM part",
-    "logit_filters": """WITH x AS (SELECT vec_id, unnest(list_transform(embedding[1:12], lambda v: CAST(v AS DOUBLE) * 10)) AS x, unnest(range(12)) AS i FROM embeddings), m AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM x),
+    "logit_filters": """WITH x AS (SELECT vec_id, unnest(list_transform(embedding, lambda v: CAST(v AS DOUBLE) * 10)) AS x, unnest(range(len(embedding))) AS i FROM embeddings), m AS (SELECT *, max(x) OVER (PARTITION BY vec_id) AS m, row_number() OVER (PARTITION BY vec_id ORDER BY x DESC, i) AS r FROM x),
       q AS (SELECT *, exp(x - m) / sum(exp(x - m)) OVER (PARTITION BY vec_id) AS q FROM m), c AS (SELECT *, coalesce(sum(q) OVER (PARTITION BY vec_id ORDER BY r ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0.0) AS before, max(CASE WHEN r = 5 THEN x END) OVER (PARTITION BY vec_id) AS fifth FROM q)
-      SELECT vec_id, CAST(count(*) FILTER (x >= fifth) AS INT) AS top_k, CAST(count(*) FILTER (before <= 0.9) AS INT) AS top_p, round(0.5 + 0.8 * (1.0 - least(greatest(-sum(q * ln(q + 1e-12)) / ln(12.0), 0.0), 1.0)), 4) AS temperature FROM c GROUP BY vec_id""",
+      SELECT vec_id, CAST(count(*) FILTER (x >= fifth) AS INT) AS top_k, CAST(count(*) FILTER (before <= 0.9) AS INT) AS top_p, round(0.5 + 0.8 * (1.0 - least(greatest(-sum(q * ln(q + 1e-12)) / ln(CAST(count(*) AS DOUBLE)), 0.0), 1.0)), 4) AS temperature FROM c GROUP BY vec_id""",
     "prepared_corpus": f"""WITH RECURSIVE kd AS (WITH {texts._QUALITY} SELECT doc_id, coalesce(text, '') AS text, source FROM documents WHERE doc_id IN (SELECT doc_id FROM v WHERE n_reasons = 0)),
       {corpora.clusters_sql('kd')}, k AS (SELECT cl.id, row_number() OVER (PARTITION BY cluster_id ORDER BY length(text) DESC, cl.id) AS r FROM cl JOIN kd ON kd.doc_id = cl.id),
       z AS (SELECT doc_id, source, CAST({_N.replace("coalesce(text, '')", 'text')} AS BIGINT) AS n_tokens, {_W.replace('(s,', "(coalesce(source, ''),")} AS weight FROM kd WHERE doc_id NOT IN (SELECT id FROM k WHERE r > 1)), o AS (SELECT *, CAST(sum(n_tokens) OVER (ORDER BY doc_id) AS BIGINT) AS end_off FROM z)

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions.cleaning import Cleaning, clean, strip_markdown
 from tessella.functions.html_text import page_text
+from tessella.operators.training import with_offsets
 from tessella.runtime import broadcast_if_small, materialize
 
 _word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -97,6 +98,12 @@ def ending(path: str) -> str:
     return got
 
 
+def _numbered(names: DataFrame) -> DataFrame:
+    """`names`(path, input, ..) with `doc_idx`, their place by input and path; names are numbered in ranges, not in one task."""
+    keyed = names.withColumn("_one", F.lit(1)).withColumn("_at", F.concat(F.lpad(F.col("input").cast("string"), 6, "0"), F.lit("|"), "path"))
+    return with_offsets(keyed, "_one", "_at").withColumn("doc_idx", F.col("start_off").cast("int")).drop("_one", "_at", "start_off", "end_off")
+
+
 def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = False, level: Cleaning = Cleaning.STANDARD) -> DataFrame:
     """(path, stem, ending, text, error, doc_idx) of the files of known endings, in the order of the paths given.
 
@@ -128,8 +135,8 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     listed = found.select("path", "input", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ending"), F.regexp_replace(name, r"\.[^.]+$", "").alias("_stem")).filter(F.col("ending").isin(list(extractors)))
     listed = materialize(listed, "file-names")
     twin = F.row_number().over(Window.partitionBy("_stem").orderBy("input", "path"))
-    order = F.row_number().over(Window.orderBy("input", "path")) - 1  # names only; contents never meet in one task
-    listed = listed.select("path", "input", "ending", F.when(twin == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "ending")).alias("stem"), order.alias("doc_idx"))
+    named = listed.select("path", "input", "ending", F.when(twin == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "ending")).alias("stem"))
+    listed = materialize(_numbered(named), "files-in-order")
     listed = broadcast_if_small(listed, listed.count(), 400)
     d = found.join(listed, ["path", "input"]).withColumn("r", extract("content", "ending"))
     raw = F.when(F.col("ending").isin(list(MARKDOWN)), strip_markdown(F.col("r.text"))).otherwise(F.col("r.text"))
@@ -147,7 +154,7 @@ def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    listed = materialize(out.select("path", "input"), "file-names").withColumn("doc_idx", F.row_number().over(Window.orderBy("input", "path")) - 1)
+    listed = materialize(_numbered(out.select("path", "input")), "files-in-order")
     return out.join(broadcast_if_small(listed, listed.count(), 400), ["path", "input"]).drop("input")
 
 
