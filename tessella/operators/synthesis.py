@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.training import IGNORE, PAD, hash_order
@@ -56,3 +56,69 @@ def collate_neighbours(neighbours: DataFrame, n: int, length: int) -> DataFrame:
 def ignored_share(labels: Column) -> Column:
     """Share of a label array that losses ignore."""
     return F.when(F.size(labels) > 0, F.size(F.filter(labels, lambda x: x == IGNORE)) / F.size(labels)).otherwise(0.0)
+
+
+def _part(c: Column, before: str, after: str) -> Column:
+    """The value framed by two texts; nothing where there is none."""
+    text = c.cast("string")
+    return F.when(F.coalesce(text, F.lit("")) != "", F.concat(F.lit(before), text, F.lit(after))).otherwise("")
+
+
+def _said(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+
+
+def _there(*cs: Column) -> Column:
+    there = F.lit(True)
+    for c in cs:
+        there = there & (F.coalesce(c.cast("string"), F.lit("")) != "")
+    return there
+
+
+# The sentences of the next two functions are fixed values: formats that must be equal.
+def monster_templates(r: dict[str, Column]) -> list[tuple[Column, Column, Column]]:
+    """(condition, question, answer) of a creature: rating, hit points, armor, kind, speed.
+
+    `r` has the columns name, rating (as text), xp, hp, dice, ac, armor, size, kind, alignment, speed.
+    """
+    n, named = F.trim(r["name"]), F.trim(F.coalesce(r["name"], F.lit(""))) != ""
+    xp = F.when(r["xp"] > 0, _said(" (", F.format_number(r["xp"], 0), " XP)")).otherwise("")
+    speed = F.regexp_replace(r["speed"].cast("string"), r"\.+$", "")
+    return [
+        (named & _there(r["rating"]), _said("What is the challenge rating of the ", n, "?"), _said("The ", n, " is challenge rating ", r["rating"], xp, ".")),
+        (named & _there(r["hp"]), _said("How many hit points does a ", n, " have?"), _said("A ", n, " has ", r["hp"], " hit points", _part(r["dice"], " (", ")"), ".")),
+        (named & _there(r["ac"]), _said("What is the armor class of a ", n, "?"), _said("A ", n, " has an armor class of ", r["ac"], _part(r["armor"], " (", ")"), ".")),
+        (named & _there(r["size"], r["kind"]), _said("What type of creature is a ", n, "?"), _said("A ", n, " is a ", F.lower(r["size"]), " ", r["kind"], _part(r["alignment"], ", ", ""), ".")),
+        (named & _there(r["speed"]), _said("How fast can a ", n, " move?"), _said("A ", n, "'s speed is ", speed, ".")),
+    ]
+
+
+def spell_templates(r: dict[str, Column]) -> list[tuple[Column, Column, Column]]:
+    """(condition, question, answer) of a spell: level and school, casting time, range, duration, first sentence.
+
+    `r` has the columns name, level, school, time, range, duration, concentration (boolean), text.
+    """
+    n, named = F.trim(r["name"]), F.trim(F.coalesce(r["name"], F.lit(""))) != ""
+    level = F.when(r["level"].cast("string") == "0", "cantrip").otherwise(_said("level ", r["level"]))
+    first = F.concat(F.regexp_replace(F.element_at(F.split(F.trim(r["text"]), r"\. "), 1), r"\.+$", ""), F.lit("."))
+    held = F.when(F.coalesce(r["concentration"], F.lit(False)), " It requires concentration.").otherwise("")
+    return [
+        (named & r["level"].isNotNull() & _there(r["school"]), _said("What level and school is the spell ", n, "?"), _said(n, " is a ", level, " ", r["school"], " spell.")),
+        (named & _there(r["time"]), _said("How long does it take to cast ", n, "?"), _said(n, " has a casting time of ", r["time"], ".")),
+        (named & _there(r["range"]), _said("What is the range of the spell ", n, "?"), _said(n, " has a range of ", r["range"], ".")),
+        (named & _there(r["duration"]), _said("How long does ", n, " last?"), _said(n, "'s duration is ", r["duration"], ".", held)),
+        (named & _there(r["text"]) & (F.length(first) > 15), _said("What does the spell ", n, " do?"), first),
+    ]
+
+
+def capped(rows: DataFrame, category: str, n: int, *keys: str, seed: int = 0) -> DataFrame:
+    """At most n rows of every category, in a hash order of the keys.
+
+    Rows beyond the n first of each cell of the order can't be among the n first of a category; so cells are cut first,
+    and only what is left of a category, however large it is, is ranked as a whole.
+    """
+    key = hash_order(*[F.col(k) for k in keys], seed=seed)
+    d = rows.withColumn("_key", key).withColumn("_cell", F.substring("_key", 1, 2))
+    rank = lambda *by: F.row_number().over(Window.partitionBy(*by).orderBy("_key", *keys))
+    few = d.withColumn("_i", rank(category, "_cell")).filter(F.col("_i") <= n)
+    return few.withColumn("_i", rank(category)).filter(F.col("_i") <= n).select(rows.columns)

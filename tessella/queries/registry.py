@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-MODULES = ("texts", "corpora", "learning", "transfers")
+MODULES = ("texts", "corpora", "learning", "transfers", "generated")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
