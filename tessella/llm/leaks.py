@@ -34,7 +34,8 @@ from tessella.llm.words import hash_words, shingle_hashes, split_words
 class Leaks:
     """`share` of an item's words in one piece, `errors` per word of it; items under `min_words` words are passed over.
 
-    `items_per_block` bounds what is broadcast: a longer list of items is worked through in blocks.
+    `items_per_block` and `chars_per_block` bound what is sent to the tasks: a longer list of items, or one of longer
+    passages, is worked through in blocks of about that size.
     """
 
     share: float = 0.5
@@ -42,6 +43,7 @@ class Leaks:
     shingle: int = 3
     min_words: int = 8
     items_per_block: int = 20_000
+    chars_per_block: int = 20_000_000
     texts_per_block: int = 1000
 
 
@@ -168,11 +170,12 @@ def _finder(items: list[tuple[int, np.ndarray]], prefixes: dict[int, list[tuple[
 def find_leaks(texts: DataFrame, items: DataFrame, p: Leaks = Leaks()) -> DataFrame:
     """(id, item): texts that hold a piece of an item.  Needs texts(id, text) and items(item, passage).
 
-    The items come to the driver in blocks of `items_per_block`; of the corpus only counts of item shingles do.
+    The items come to the driver in blocks; of the corpus only counts of item shingles do.
     """
     plain = texts.filter(F.col("id").isNotNull() & F.col("text").isNotNull()).select("id", "text")
     shaped = items.filter(F.col("item").isNotNull() & F.col("passage").isNotNull()).select("item", "passage").distinct()
-    blocks = max(1, -(-shaped.count() // p.items_per_block))
+    size = shaped.agg(F.count("*").alias("n"), F.sum(F.length("passage")).alias("chars")).first()
+    blocks = max(1, -(-size["n"] // p.items_per_block), -(-(size["chars"] or 0) // p.chars_per_block))
     found = None
     for b in range(blocks):
         rows = shaped.filter(F.pmod(F.xxhash64("item", "passage"), F.lit(blocks)) == b).orderBy("item", "passage").collect()

@@ -56,6 +56,11 @@ def test_blocks_of_items_give_the_same(case):
     assert {(r.id, r.item) for r in find_leaks(docs, items, Leaks(items_per_block=7)).collect()} == want
 
 
+def test_blocks_of_long_passages_give_the_same(case):
+    docs, items, want = case
+    assert {(r.id, r.item) for r in find_leaks(docs, items, Leaks(chars_per_block=900)).collect()} == want
+
+
 def test_empty_tables(spark, case):
     docs, items, _ = case
     assert find_leaks(docs.limit(0), items).collect() == [] and find_leaks(docs, items.limit(0)).collect() == []
