@@ -32,16 +32,18 @@ def build_index(docs: DataFrame, n: int = 4, stemmed: bool = True, excerpts_want
     d = docs.filter(F.col("text").isNotNull()).withColumn("tokens", words_of(F.col("text"), stemmed))
     # one element more than the n-gram, filled up at the end, holds the token that follows
     padded = F.concat("tokens", F.array(F.lit(None).cast("string")))
-    if excerpts_wanted:
-        d = d.withColumn("excerpts", excerpts(F.col("text"), n, F.greatest(F.size("tokens") - (n - 1), F.lit(0))))
-        zipped = F.arrays_zip(ngrams(padded, n + 1).alias("run"), F.col("excerpts").alias("excerpt"))
-        each = d.select("doc_id", "source", F.posexplode(zipped).alias("pos", "z")).select("doc_id", "source", "pos", "z.run", "z.excerpt")
-    else:
-        each = d.select("doc_id", "source", F.posexplode(ngrams(padded, n + 1)).alias("pos", "run"))
+    each = d.select("doc_id", "source", F.posexplode(ngrams(padded, n + 1)).alias("pos", "run"))
     each = each.withColumn("ngram", F.slice("run", 1, n))
-    first = [F.get("run", F.lit(n)).alias("next_token"), F.col("source"), *([F.col("excerpt")] if excerpts_wanted else [])]
+    first = [F.get("run", F.lit(n)).alias("next_token"), F.col("source")]
     grouped = each.select("ngram", F.struct(F.col("doc_id"), F.col("pos"), *first).alias("at")).groupBy("ngram").agg(F.count("*").alias("frequency"), F.min("at").alias("at"))
-    return grouped.select("ngram", "at.next_token", "frequency", "at.source", *(["at.excerpt"] if excerpts_wanted else []))
+    if not excerpts_wanted:
+        return grouped.select("ngram", "at.next_token", "frequency", "at.source")
+    # texts don't ride along with every n-gram: excerpts are cut once it is known which are wanted of which text
+    entry = F.struct(F.col("at.pos").alias("pos"), "ngram", "at.next_token", "frequency", "at.source")
+    wanted = grouped.groupBy("at.doc_id").agg(F.sort_array(F.collect_list(entry)).alias("entries"))  # no more than a text has n-grams
+    texts = d.groupBy("doc_id").agg(F.min("text").alias("text"))
+    cut = wanted.join(texts, "doc_id").withColumn("cuts", excerpts(F.col("text"), n, F.col("entries.pos")))
+    return cut.select(F.explode(F.arrays_zip("entries", "cuts")).alias("z")).select("z.entries.ngram", "z.entries.next_token", "z.entries.frequency", "z.entries.source", F.col("z.cuts").alias("excerpt"))
 
 
 #: Characters of an excerpt beyond its n-gram, both sides together (fixed value).
@@ -69,12 +71,18 @@ def text_excerpts(text: str, n: int, count: int) -> list[str | None]:
     return out
 
 
-def excerpts(text: Column, n: int, count: Column) -> Column:
-    @F.pandas_udf("array<string>")
-    def around(texts: pd.Series, counts: pd.Series) -> pd.Series:
-        return pd.Series([text_excerpts(t or "", n, int(c)) for t, c in zip(texts, counts)])
+def excerpts(text: Column, n: int, places: Column) -> Column:
+    """The excerpts at the given numbers of words, in the order of the numbers."""
 
-    return around(text, count)
+    @F.pandas_udf("array<string>")
+    def around(texts: pd.Series, wanted: pd.Series) -> pd.Series:
+        out = []
+        for t, at in zip(texts, wanted):
+            every = text_excerpts(t or "", n, int(max(at)) + 1) if len(at) else []
+            out.append([every[i] for i in at])
+        return pd.Series(out)
+
+    return around(text, places)
 
 
 def lookup(index: DataFrame, ngrams: DataFrame) -> DataFrame:

@@ -187,6 +187,11 @@ def _tier_sql(k: int, name: str, upper: float, lower: float) -> str:
 _SENT = f"list_filter(list_transform(string_split(regexp_replace(u, '([.!?])[{WS}]+', '\\1' || chr(2), 'g'), chr(2)), lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '')"
 _PARA = f"list_filter(list_transform(regexp_split_to_array(text, '\\n[{WS}]*\\n'), lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '')"
 
+_CHUNKS = f"""WITH p AS (SELECT doc_id, unnest({_PARA}) AS u, generate_subscripts({_PARA}, 1) AS i FROM documents WHERE text IS NOT NULL),
+  k AS (SELECT doc_id, i, CASE WHEN length(u) <= 600 THEN [u] ELSE string_split(list_reduce({_SENT}, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) > 400 THEN a || chr(1) || x ELSE a || ' ' || x END), chr(1)) END AS c FROM p),
+  f AS (SELECT doc_id, flatten(list(c ORDER BY i)) AS c FROM k GROUP BY doc_id)
+  SELECT doc_id, CAST(unnest(range(0, len(c))) AS INT) AS chunk_no, unnest(c) AS passage FROM f"""
+
 SQL = {
     "dedup_shingles": f"WITH {_shingle_sql(5)} SELECT d.doc_id, count(h) AS n_shingles, CAST(coalesce(sum(h), 0) AS BIGINT) AS hash_sum, min(h) AS least FROM documents d LEFT JOIN h ON h.id = d.doc_id GROUP BY d.doc_id",
     "dedup_bands": f"WITH {_BANDS} SELECT id AS doc_id, CAST(band AS INT) AS band, key FROM bands",
@@ -206,10 +211,8 @@ SQL = {
       s AS (SELECT query_id, key, frequency, count(*) / CAST(nw + nq - count(*) AS DOUBLE) AS score FROM p JOIN u USING (word) GROUP BY query_id, key, frequency, nw, nq),
       r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, frequency DESC, key) AS INT) AS rank FROM s)
       SELECT query_id, rank, key AS entry_id, round(score, 6) AS score FROM r WHERE rank <= 5""",
-    "chunk_passages": f"""WITH p AS (SELECT doc_id, unnest({_PARA}) AS u, generate_subscripts({_PARA}, 1) AS i FROM documents WHERE text IS NOT NULL),
-      k AS (SELECT doc_id, i, CASE WHEN length(u) <= 600 THEN [u] ELSE string_split(list_reduce({_SENT}, lambda a, x: CASE WHEN length(string_split(a, chr(1))[-1]) + 1 + length(x) > 400 THEN a || chr(1) || x ELSE a || ' ' || x END), chr(1)) END AS c FROM p),
-      f AS (SELECT doc_id, flatten(list(c ORDER BY i)) AS c FROM k GROUP BY doc_id)
-      SELECT doc_id, CAST(unnest(range(0, len(c))) AS INT) AS chunk_no, unnest(c) AS passage FROM f""",
+    "chunk_passages": _CHUNKS,
+    "embedded_passages": f"SELECT c.doc_id, chunk_no, CAST(1.0 AS DOUBLE) AS norm FROM ({_CHUNKS}) c JOIN documents d ON d.doc_id = c.doc_id WHERE coalesce(source, '') <> 'rpg_qa'",
     "leading_units": f"""WITH a AS (SELECT DISTINCT pair_id, answer FROM qa_pairs WHERE answer IS NOT NULL),
       l AS (SELECT pair_id, list_filter(list_transform(string_split(regexp_replace(answer, '^[{WS}]+|[{WS}]+$', '', 'g'), chr(10)), lambda x: regexp_replace(x, '^[{WS}]+|[{WS}]+$', '', 'g')), lambda x: x <> '') AS l FROM a),
       s AS (SELECT pair_id, flatten(list_transform(l, lambda u: {_SENT})) AS s FROM l)

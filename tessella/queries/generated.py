@@ -8,9 +8,11 @@ from pyspark.sql import functions as F
 from tessella.functions.cleaning import challenge_rating
 from tessella.functions.game_text import render_blocks, resolve_tags
 from tessella.functions.html_text import main_text
-from tessella.operators import agents, answers, synthesis, training
+from tessella.operators import agents, answers, bpe, synthesis, training
 from tessella.queries.base import table
 from tessella.queries.learning import _sized
+from tessella.runtime import scratch
+from tessella.streaming import conversations
 
 
 def monster_questions(spark: SparkSession, folder: str) -> DataFrame:
@@ -80,11 +82,39 @@ def html_articles(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "documents").select("doc_id", main_text(page).alias("main"))
 
 
-QUERIES = [monster_questions, spell_questions, capped_pairs, agent_registry, chosen_splits, tag_forms, rendered_blocks, html_articles]
+def _coded(spark: SparkSession, folder: str) -> tuple[DataFrame, bpe.Vocabulary, bool]:
+    """The documents' ids by a vocabulary that was learned and then extended, and whether the old ids stayed."""
+    d = table(spark, folder, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    first = bpe.train(d, 400)
+    v = bpe.train(d, 450, start=first)
+    return d.select("doc_id", "text", bpe.encode(F.col("text"), v).alias("ids")), v, v.merges[: len(first.merges)] == first.merges and len(v) > len(first)
+
+
+def bpe_round_trip(spark: SparkSession, folder: str) -> DataFrame:
+    coded, v, kept = _coded(spark, folder)
+    return coded.select("doc_id", bpe.decode(F.col("ids"), v).alias("text"), F.lit(kept).alias("ids_kept"))
+
+
+def decoded_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """Texts put together again from a stream of ids that comes in two parts."""
+    coded, v, _ = _coded(spark, folder)
+    path, target = scratch(spark, "ids"), scratch(spark, "decoded")
+    ids = coded.select(F.col("doc_id").alias("reply_id"), F.posexplode("ids").alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
+    for half in (0, 1):
+        ids.filter((F.col("pos") >= 350).cast("int") == half).coalesce(1).write.mode("append").parquet(path)
+    stream = conversations.decode_stream(spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(path), v)
+    conversations.run_to_end(stream, target, "update")
+    parts = spark.read.parquet(target).groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("_batch", "text"))).alias("p"))  # two parts at most
+    return parts.select(F.col("reply_id").alias("doc_id"), F.array_join(F.col("p.text"), "").alias("text"))
+
+
+QUERIES = [bpe_round_trip, decoded_stream, monster_questions, spell_questions, capped_pairs, agent_registry, chosen_splits, tag_forms, rendered_blocks, html_articles]
 
 _RATING = "CAST(CAST(p_size AS BIGINT) AS VARCHAR)"
 
 SQL = {
+    "bpe_round_trip": "SELECT doc_id, coalesce(text, '') AS text, true AS ids_kept FROM documents",
+    "decoded_stream": "SELECT doc_id, text FROM documents WHERE text <> ''",
     "monster_questions": f"""WITH e AS (SELECT 'What is the challenge rating of the ' || p_name || '?' AS user_text, 'The ' || p_name || ' is challenge rating ' || {_RATING} || CASE WHEN p_size * 450 - 900 > 0 THEN ' (' || format('{{:,}}', p_size * 450 - 900) || ' XP)' ELSE '' END || '.' AS assistant FROM part WHERE p_size % 2 = 0
       UNION ALL SELECT 'How many hit points does a ' || p_name || ' have?', 'A ' || p_name || ' has ' || (p_size * 3) || ' hit points' || CASE WHEN p_size % 3 = 0 THEN ' (' || p_size || 'd8)' ELSE '' END || '.' FROM part
       UNION ALL SELECT 'What is the armor class of a ' || p_name || '?', 'A ' || p_name || ' has an armor class of ' || p_size || CASE WHEN p_size % 8 = 0 THEN ' (hide)' ELSE '' END || '.' FROM part WHERE p_size % 4 = 0
