@@ -21,11 +21,13 @@ def with_offsets(docs: DataFrame, size: str, order: str, part_rows: int = 50_000
 
     Two levels: the rows are range-partitioned by `order`, about `part_rows` to a part, and written out with the number
     of their part; only the sums of the parts, one row each, meet in one task.  The plan is the same for any number of
-    rows.
+    rows beyond the first part.
     """
+    docs = materialize(docs, "sized-docs")
     parts = max(1, -(-docs.count() // part_rows))
-    ranged = docs.repartitionByRange(parts, order) if parts > 1 else docs.coalesce(1)
-    d = materialize(ranged.withColumn("_part", F.spark_partition_id()), "ranged-docs")
+    if parts == 1:
+        return docs.withColumn("end_off", F.sum(size).over(Window.orderBy(order).rowsBetween(Window.unboundedPreceding, 0))).withColumn("start_off", F.col("end_off") - F.col(size))
+    d = materialize(docs.repartitionByRange(parts, order).withColumn("_part", F.spark_partition_id()), "ranged-docs")
     sums = d.groupBy("_part").agg(F.sum(size).alias("_sum"))
     base = sums.withColumn("_base", F.coalesce(F.sum("_sum").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("_part", "_base")
     inside = F.sum(size).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
