@@ -217,8 +217,8 @@ def _sum(terms: list) -> Column:
     return reduce(lambda x, y: x + y, terms)
 
 
-def _placed(pages: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
-    """`pages` with the squared distance `d2`, and by direction the deviations `r_...` along it; rows of no shape are left out.
+def _placed(pages: DataFrame, shapes: dict[str, Shape], aimed: bool = True) -> DataFrame:
+    """`pages` with the squared distance `d2` and, if `aimed`, by direction the deviations `r_...` along it; rows of no shape are left out.
 
     The shapes are sent along: a row per language of FUNCTION_WORDS, and one for the pooled shape.
     """
@@ -230,10 +230,11 @@ def _placed(pages: DataFrame, shapes: dict[str, Shape]) -> DataFrame:
         along = [white @ (u / np.linalg.norm(u)) for u in aims]
         rows.append((key, centre.tolist(), (white @ white).ravel().tolist(), [a.tolist() for a in along]))
     table = pages.sparkSession.createDataFrame(rows, "lang string, c array<double>, q array<double>, u array<array<double>>")
-    table = table.select("lang", *[F.col("c")[i].alias(f"c{i}") for i in range(k)], *[F.col("q")[i * k + j].alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)], *[F.col("u")[d][i].alias(f"u{d}_{i}") for d in range(len(DIRECTIONS)) for i in range(k)])
+    directions = list(enumerate(DIRECTIONS)) if aimed else []
+    table = table.select("lang", *[F.col("c")[i].alias(f"c{i}") for i in range(k)], *[F.col("q")[i * k + j].alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)], *[F.col("u")[d][i].alias(f"u{d}_{i}") for d, _ in directions for i in range(k)])
     off = pages.join(F.broadcast(table), "lang").withColumns({f"x{i}": F.col(f) - F.col(f"c{i}") for i, f in enumerate(FEATURES)})
     d2 = _sum([F.col(f"x{i}") * F.col(f"x{j}") * F.col(f"q{i}_{j}") * (1 if i == j else 2) for i in range(k) for j in range(i, k)])
-    reach = {f"r_{t}": _sum([F.col(f"x{i}") * F.col(f"u{d}_{i}") for i in range(k)]) for d, t in enumerate(DIRECTIONS)}
+    reach = {f"r_{t}": _sum([F.col(f"x{i}") * F.col(f"u{d}_{i}") for i in range(k)]) for d, t in directions}
     return off.withColumns({"d2": d2} | reach).select(*pages.columns, "d2", *reach)
 
 
@@ -254,7 +255,7 @@ def robust_shapes(pages: DataFrame, p: SpamPages) -> dict[str, Shape]:
     products = [(i, j) for i in range(k) for j in range(i, k)]
     own = [x for x in shapes if x != POOLED]
     for _ in range(p.steps):
-        near = _placed(pages, shapes)
+        near = _placed(pages, shapes, aimed=False)
         edge = {r.lang: r.q for r in near.groupBy("lang").agg(F.percentile_approx("d2", p.core, 2000).alias("q")).collect()}
         limit = F.create_map(*[x for lang, q in edge.items() for x in (F.lit(lang), F.lit(float(q)))])
         sums = (
