@@ -4,7 +4,7 @@ Every labelling function looks at one thing, is wrong at times and votes yes, no
 verdict of its defect.  For each defect the votes of a record make a pattern; the model sees only the counts of the
 patterns over all records, estimates how common the defect is and how each function votes on defective and on sound
 records, and gives the posterior of the defect for each pattern.  A record keeps every defect whose posterior exceeds
-that defect's cutoff (`labels`), or its most probable one (`defects`).  The cutoffs are validated on held-out
+that defect's cutoff (`labels`), or its most probable one (`defects`).  The cutoffs are checked on further
 hand-labelled pairs in the tests.
 
 A null reply is empty.  A null question leaves only `empty`, `refusal` and `truncated` to be told.  Repeated ids give
@@ -363,7 +363,7 @@ def _votes_of(code: int, width: int) -> list[int]:
     return [code // 3 ** (width - 1 - j) % 3 for j in range(width)]
 
 
-#: Least posterior at which a label is kept: inside the gap between defective and sound held-out pairs.
+#: Least posterior at which a label is kept: inside the gap between defective and sound hand-labelled pairs.
 CUTOFFS = {"empty": 0.5, "copied": 0.7, "refusal": 0.4, "language": 0.5, "truncated": 0.45}
 
 
