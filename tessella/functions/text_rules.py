@@ -5,6 +5,11 @@ Java's own classes are ASCII or differ on digits and separators, so every rule s
 
 from __future__ import annotations
 
+import sys
+from functools import cache
+from itertools import chain
+from string import ascii_lowercase, ascii_uppercase
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +26,22 @@ def strip(c: Column) -> Column:
     return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
+@cache
+def _upper_forms() -> tuple[str, str]:
+    """All characters that have an upper form of one character, and these forms."""
+    pairs = []
+    for c in map(chr, chain(range(0x80, 0xD800), range(0xE000, sys.maxunicode + 1))):
+        forms = [x for x in ("\u1e9e" if c == "\u00df" else "", c.upper(), c.title()) if len(x) == 1]
+        if forms and forms[0] != c:
+            pairs.append((c, forms[0]))
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def upper(c: Column) -> Column:
+    """In capitals, character by character, so that no text gets longer; Java's rule writes sharp s and ligatures as several."""
+    return F.when(c.rlike(r"[^\x00-\x7f]"), F.translate(F.translate(c, ascii_lowercase, ascii_uppercase), *_upper_forms())).otherwise(F.upper(c))
+
+
 def lines(c: Column) -> Column:
     """The lines of a text, none for an empty one; the end of the last line doesn't open another."""
     parts = F.split(F.regexp_replace(c, "\r\n", "\n"), f"[{LINE_END}]")

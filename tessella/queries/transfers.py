@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.cleaning import Cleaning
+from tessella.functions.text_rules import upper
 from tessella.operators import graphs, guards, lexical, manifests, prompts, quality, retrieval
 from tessella.queries.base import r6, sql_nfkc, sql_strip, table
 from tessella.queries.corpora import SQL as INDEX_SQL
@@ -60,7 +61,7 @@ def qa_shards(spark: SparkSession, folder: str) -> DataFrame:
     q = table(spark, folder, "qa_pairs").filter("pair_id is not null")
     shards = q.select(
         F.col("pair_id").alias("QId"), F.col("question").alias("Title"), F.lit("body").alias("Body"), F.coalesce("answer_score", F.lit(0)).alias("Score"), F.col("question_id").alias("AcceptedAnswerId"), F.array(F.col("site")).alias("Tags"),
-        F.array(F.struct(F.col("answer").alias("Body")), F.struct(F.upper("answer").alias("Body"))).alias("Answers"), F.lit("unread").alias("Other"),
+        F.array(F.struct(F.col("answer").alias("Body")), F.struct(upper(F.col("answer")).alias("Body"))).alias("Answers"), F.lit("unread").alias("Other"),
     )
     shards.write.parquet(path)
     got = records.read_qa_shards(spark, path, 5)

@@ -130,3 +130,18 @@ def test_records_by_kind(spark):
     assert {r.id for r in records.open_items(f, "closed").collect()} == {2, 3}
     i = spark.createDataFrame([(["a", "b"], 1), (["a"], 2)], "ngram array<string>, n int")
     assert [r.n for r in lexical.lookup(i, i.filter("n = 2")).collect()] == [2]
+
+
+def test_shards_hold_capitals_as_sql_has_them(spark, tmp_path):
+    import duckdb
+
+    from tessella.queries import transfers
+
+    answers = ["straße Öl", "ŉ ǰ ﬁ ﬀ ᾳ ᾲ ᾼ ῼ և", "plain", "élan 𐐨 ǆ ǅ ı", "", None, "".join(chr(c) for c in (*range(1, 0xD800), *range(0xE000, 0x20000)))]
+    rows = [(i, f"q{i}", 5 + i, i, a, "s") for i, a in enumerate(answers)]
+    spark.createDataFrame(rows, "pair_id long, question string, answer_score int, question_id long, answer string, site string").write.parquet(f"{tmp_path}/qa_pairs.parquet")
+    got = transfers.qa_shards(spark, str(tmp_path))
+    con = duckdb.connect()
+    con.execute(f"create view qa_pairs as select * from read_parquet('{tmp_path}/qa_pairs.parquet/*.parquet')")
+    want = con.sql(f"select {', '.join(got.columns)} from ({transfers.SQL['qa_shards']})").fetchall()
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
