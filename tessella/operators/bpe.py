@@ -6,7 +6,7 @@ import heapq
 import json
 import re
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from pathlib import Path
 
 import pandas as pd
@@ -116,7 +116,22 @@ class Decoder:
             return ""
         if i < FIRST_BYTE:
             return self.finish() + symbol
-        self.held += bytes(_bytes[c] for c in symbol)
+        return self._extend([symbol])
+
+    def push_all(self, ids: Iterable[int]) -> str:
+        """What pushing the ids one after the other gives; their bytes are put together before they are decoded."""
+        out, waiting = [], []
+        for i in ids:
+            symbol = self.text.get(i)
+            if symbol is not None and i < FIRST_BYTE:
+                out += [self._extend(waiting), self.finish(), symbol]
+                waiting = []
+            elif symbol is not None:
+                waiting.append(symbol)
+        return "".join([*out, self._extend(waiting)])
+
+    def _extend(self, symbols: list[str]) -> str:
+        self.held += bytes(map(_bytes.__getitem__, "".join(symbols)))
         try:
             whole = len(self.held)
             text = self.held.decode("utf-8")

@@ -11,7 +11,7 @@ from tessella.functions.html_text import main_text
 from tessella.operators import agents, answers, bpe, synthesis, training
 from tessella.queries.base import table
 from tessella.queries.learning import _sized
-from tessella.runtime import scratch
+from tessella.runtime import materialize, scratch
 from tessella.streaming import conversations
 
 
@@ -99,11 +99,12 @@ def decoded_stream(spark: SparkSession, folder: str) -> DataFrame:
     """Texts put together again from a stream of ids that comes in two parts."""
     coded, v, _ = _coded(spark, folder)
     path, target = scratch(spark, "ids"), scratch(spark, "decoded")
-    ids = coded.select(F.col("doc_id").alias("reply_id"), F.posexplode("ids").alias("pos", "id")).withColumn("pos", F.col("pos").cast("long"))
-    for half in (0, 1):
-        ids.filter((F.col("pos") >= 350).cast("int") == half).coalesce(1).write.mode("append").parquet(path)
-    stream = conversations.decode_stream(spark.readStream.schema(ids.schema).option("maxFilesPerTrigger", 1).parquet(path), v)
-    conversations.run_to_end(stream, target, "update")
+    coded = materialize(coded.select(F.col("doc_id").alias("reply_id"), "ids"), "coded")  # else every part would encode all texts again
+    for first, run in ((0, F.slice("ids", 1, 350)), (350, F.slice("ids", F.lit(351), F.greatest(F.size("ids") - 350, F.lit(0))))):
+        ids = coded.select("reply_id", F.lit(first).cast("long").alias("pos"), run.alias("ids")).filter(F.size("ids") > 0)
+        ids.write.mode("append").parquet(path)
+        # the second run goes on from the state of the first
+        conversations.run_to_end(conversations.decode_stream(spark.readStream.schema(ids.schema).parquet(path), v), target, "update")
     parts = spark.read.parquet(target).groupBy("reply_id").agg(F.array_sort(F.collect_list(F.struct("_batch", "text"))).alias("p"))  # two parts at most
     return parts.select(F.col("reply_id").alias("doc_id"), F.array_join(F.col("p.text"), "").alias("text"))
 

@@ -61,14 +61,20 @@ def activity(events: DataFrame, late: str = "2 hours", window: str = "1 hour") -
 
 
 def decode_stream(tokens: DataFrame, vocabulary: Vocabulary, key: str = "reply_id") -> DataFrame:
-    """(key, text): text that has become whole with each batch of (key, pos, id); unfinished bytes wait in the state."""
-    merges = vocabulary.merges
+    """(key, text): text that has become whole with each batch of (key, pos, id); unfinished bytes wait in the state.
+
+    Instead of single ids a row may hold a run of them, (key, pos, ids), pos being the place of the first.
+    """
+    merges, column = vocabulary.merges, "ids" if "ids" in tokens.columns else "id"
+    made: dict = {}
 
     def update(k: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        d = Vocabulary(merges).decoder()
+        if "v" not in made:
+            made["v"] = Vocabulary(merges)
+        d = made["v"].decoder()
         d.held = bytes(state.get[0]) if state.exists else b""
-        rows = sorted((int(p), int(i)) for b in batches for p, i in zip(b["pos"], b["id"]))
-        text = "".join(d.push(i) for _, i in rows)
+        rows = sorted(((int(p), x) for b in batches for p, x in zip(b["pos"], b[column])), key=lambda r: r[0])
+        text = d.push_all(int(i) for _, x in rows for i in x) if column == "ids" else d.push_all(int(i) for _, i in rows)
         state.update((d.held,))
         yield pd.DataFrame({key: [k[0]], "text": [text]})
 

@@ -145,3 +145,25 @@ def test_shards_hold_capitals_as_sql_has_them(spark, tmp_path):
     con.execute(f"create view qa_pairs as select * from read_parquet('{tmp_path}/qa_pairs.parquet/*.parquet')")
     want = con.sql(f"select {', '.join(got.columns)} from ({transfers.SQL['qa_shards']})").fetchall()
     assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+
+
+def test_decoder_takes_ids_at_once():
+    from tessella.operators.bpe import FIRST_BYTE, Vocabulary
+
+    v, rng = Vocabulary([]), random.Random(3)
+    for _ in range(300):
+        ids = [rng.choice([*range(6), 9999, *(FIRST_BYTE + b for b in "é€𐐨a".encode()), FIRST_BYTE + 255]) for _ in range(rng.randrange(30))]
+        cut = rng.randrange(31)
+        one, many = v.decoder(), v.decoder()
+        assert "".join(map(one.push, ids)) == many.push_all(ids[:cut]) + many.push_all(ids[cut:]) and one.held == many.held and one.finish() == many.finish()
+
+
+def test_decoded_stream_encodes_in_all_tasks(spark, tmp_path, monkeypatch):
+    from tessella.queries import generated
+
+    written = []
+    monkeypatch.setattr(generated, "scratch", lambda s, name: written.append((name, scratch(s, name))) or written[-1][1])
+    rows = [(i, f"Der Wächter öffnet das Tor {i}. " * (i % 40)) for i in range(200)]
+    spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
+    assert {tuple(r) for r in generated.decoded_stream(spark, str(tmp_path)).collect()} == {r for r in rows if r[1]}
+    assert len(spark.read.parquet(dict(written)["ids"]).inputFiles()) > 2  # a file a part came of one task that encoded all texts
