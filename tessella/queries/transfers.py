@@ -28,7 +28,9 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 def _as_files(spark: SparkSession, folder: str) -> str:
     """A file for every document, in a folder of its own."""
     path = scratch(spark, "text-files")
-    _docs(spark, folder).select("doc_id", "text").repartition("doc_id").write.partitionBy("doc_id").text(path)
+    # tasks move their own files into place; else the driver moves all of them, one after the other
+    write = _docs(spark, folder).select("doc_id", "text").repartition("doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
+    write.partitionBy("doc_id").text(path)
     return path
 
 

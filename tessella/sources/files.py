@@ -7,7 +7,8 @@ from __future__ import annotations
 
 import io
 import zipfile
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -98,6 +99,24 @@ def ending(path: str) -> str:
     return got
 
 
+#: Opening a small file costs a task about as much as reading so many bytes; Spark's own 4 MB leave two files to a task.
+SMALL_FILE = {"spark.sql.files.openCostInBytes": str(64 << 10)}
+
+
+@contextmanager
+def _many_files(spark: SparkSession) -> Iterator[None]:
+    """Within, folders are listed and files read by tasks of many files each; settings go back to what they were."""
+    wanted = SMALL_FILE | {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(8 * spark.sparkContext.defaultParallelism)}
+    was = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in was.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def _numbered(names: DataFrame) -> DataFrame:
     """`names`(path, input, ..) with `doc_idx`, their place by input and path; names are numbered in ranges, not in one task."""
     keyed = names.withColumn("_one", F.lit(1)).withColumn("_at", F.concat(F.lpad(F.col("input").cast("string"), 6, "0"), F.lit("|"), "path"))
@@ -111,13 +130,17 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     """
     paths = [paths] if isinstance(paths, str) else list(dict.fromkeys(paths))
     parts = []
-    for k, p in enumerate(paths):
-        files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(p).select("path", "content", F.lit(k).alias("input"))
-        parts.append(files)
-    found = parts[0]
-    for more in parts[1:]:
-        found = found.unionByName(more)
     extractors = dict(EXTRACTORS)
+    name = F.element_at(F.split("path", "/"), -1)
+    kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
+    with _many_files(spark):  # listed, opened and read once
+        for k, p in enumerate(paths):
+            files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(p).select("path", "content", F.lit(k).alias("input"))
+            parts.append(files)
+        found = parts[0]
+        for more in parts[1:]:
+            found = found.unionByName(more)
+        found = materialize(found.filter(kind.isin(list(extractors))), "contents")
 
     @F.pandas_udf("text string, error string")
     def extract(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
@@ -131,8 +154,7 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
                 errors.append(f"{type(x).__name__}: {x}"[:200])
         return pd.DataFrame({"text": texts, "error": errors})
 
-    name = F.element_at(F.split("path", "/"), -1)
-    listed = found.select("path", "input", F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1)).alias("ending"), F.regexp_replace(name, r"\.[^.]+$", "").alias("_stem")).filter(F.col("ending").isin(list(extractors)))
+    listed = found.select("path", "input", kind.alias("ending"), F.regexp_replace(name, r"\.[^.]+$", "").alias("_stem"))
     listed = materialize(listed, "file-names")
     twin = F.row_number().over(Window.partitionBy("_stem").orderBy("input", "path"))
     named = listed.select("path", "input", "ending", F.when(twin == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "ending")).alias("stem"))
@@ -146,11 +168,12 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
 def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(path, text, doc_idx) of the .txt files under the folders, sorted within each; a folder without any is an error."""
     parts = []
-    for k, folder in enumerate(folders):
-        files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
-        if files.isEmpty():
-            raise FileNotFoundError(f"no .txt files under {folder}")
-        parts.append(files.select(F.lit(k).alias("input"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")))
+    with _many_files(spark):  # listed, opened and read once
+        for k, folder in enumerate(folders):
+            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
+            parts.append(materialize(files.select(F.lit(k).alias("input"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "contents"))
+            if parts[-1].isEmpty():
+                raise FileNotFoundError(f"no .txt files under {folder}")
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)

@@ -167,3 +167,18 @@ def test_decoded_stream_encodes_in_all_tasks(spark, tmp_path, monkeypatch):
     spark.createDataFrame([*rows, (900, None)], "doc_id long, text string").repartition(4).write.parquet(f"{tmp_path}/documents.parquet")
     assert {tuple(r) for r in generated.decoded_stream(spark, str(tmp_path)).collect()} == {r for r in rows if r[1]}
     assert len(spark.read.parquet(dict(written)["ids"]).inputFiles()) > 2  # a file a part came of one task that encoded all texts
+
+
+def test_many_small_files_are_read_once_by_few_tasks(spark, tmp_path, monkeypatch):
+    for i in range(150):
+        (tmp_path / f"d{i}").mkdir()
+        (tmp_path / f"d{i}" / "x.txt").write_text(f"text {i}")
+    tasks, write = [], files.materialize
+    monkeypatch.setattr(files, "materialize", lambda df, name: tasks.append((name, df.rdd.getNumPartitions())) or write(df, name))
+    cost = spark.conf.get("spark.sql.files.openCostInBytes")
+    want = {(f"d{i}", f"text {i}") for i in range(150)}
+    short = F.element_at(F.split("path", "/"), -2)
+    assert {tuple(r) for r in files.read_texts(spark, [str(tmp_path)]).select(short, "text").collect()} == want
+    assert {tuple(r) for r in files.read_files(spark, str(tmp_path), recursive=True).select(short, "text").collect()} == want
+    assert [n for name, n in tasks if name == "contents" and n <= 8] == [n for name, n in tasks if name == "contents"] and sum(name == "contents" for name, _ in tasks) == 2
+    assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
