@@ -3,9 +3,9 @@
 Each line (long ones in pieces of `piece` words) becomes a symbol of binned statistics.  The four-state model emits
 the statistics independently given the state and tends to stay in its state.  It starts from hints, beliefs about the
 bins flattened to nearly equal chances, which only tell which state is which, and learns its emissions by
-expectation-maximization on the lines of the `train_texts` texts with the least hashes of their ids; every step takes
-the expected counts at weight `learn` and the hints for the rest, as smoothing.  Posteriors of all lines of all texts
-are then summed, weighted by words, into shares per text.
+expectation-maximization on all lines of all texts; every step has the tasks sum up the expected counts of their texts
+and takes them at weight `learn` and the hints for the rest, as smoothing.  Posteriors of all lines of all texts are
+then summed, weighted by words, into shares per text.
 
 A text isn't natural prose when less than half of its words are expected in prose lines.  Null and empty texts have
 no lines and zero statistics and are never flagged, nor are texts under `min_words` words.  Repeated ids give one row.
@@ -16,7 +16,8 @@ one of the model's own statistics.
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import chain
 
@@ -48,7 +49,7 @@ MASKS = (31, 3, 3, 3, 3, 3, 3, 3)
 @dataclass(frozen=True)
 class LineStates:
     piece: int = 18
-    train_texts: int = 8000
+    train_texts: int = 8000  # bounds nothing any more, as all texts are learned from; callers still name it
     rounds: int = 12
     learn: float = 0.8
     hint: float = 0.4
@@ -112,19 +113,19 @@ def pieces(text: str, piece: int) -> Iterator[str]:
 
 
 def _bin(x: float, ends: tuple[float, ...]) -> int:
-    for i, e in enumerate(ends):
-        if x < e:
-            return i
-    return len(ends)
+    return bisect_right(ends, x)
 
 
-#: A line without any of these holds no table; they are looked for before the pattern.
-_TABLE_SIGNS = re.compile(r"[|\t·=–]|  | / |\.{4}|_{4}|-{4}|\*{4}|~{4}")
 _JOIN_SIGNS = re.compile(r"[\d{}<>\\^~|]")
 
 
 def _is_table(line: str) -> bool:
-    return _TABLE_SIGNS.search(line) is not None and _TABLE.search(line) is not None
+    # a line without any of these holds no table; they are looked for before the pattern, one by one, as that is faster
+    signs = (
+        "  " in line or "|" in line or "\t" in line or "=" in line or "·" in line or "–" in line or " / " in line
+        or "...." in line or "----" in line or "____" in line or "****" in line or "~~~~" in line
+    )
+    return signs and _TABLE.search(line) is not None
 
 
 def symbol(line: str, units: frozenset[str] = frozenset(), words: list[str] | None = None) -> tuple[int, int, int, int, int]:
@@ -209,6 +210,19 @@ def hints(strength: float) -> list[np.ndarray]:
     return [t / t.sum(axis=1, keepdims=True) for t in flat]
 
 
+#: Numbers that the expected counts of texts come to, and the lines that go through the recursions together.
+COUNTS = 4 * sum(SIZES) + 20
+BLOCK = 1 << 19
+
+
+def _parts(offsets: np.ndarray) -> Iterator[tuple[slice, np.ndarray]]:
+    """Runs of whole texts with some BLOCK lines each: their lines, and where in these each text begins."""
+    n = max(1, round(int(offsets[-1]) / BLOCK))
+    cuts = np.unique(np.searchsorted(offsets, offsets[-1] * np.arange(n) // n, side="left"))
+    for a, b in zip(cuts, [*cuts[1:], len(offsets) - 1]):
+        yield slice(offsets[a], offsets[b]), offsets[a : b + 1] - offsets[a]
+
+
 class LineModel:
     """Emission tables (one per statistic), transitions and start of the four states."""
 
@@ -226,49 +240,72 @@ class LineModel:
             total += np.log(table[:, (codes >> shift) & mask].T) * (1.0 if shift == 0 else 0.6)
         return total
 
-    def posteriors(self, codes: np.ndarray, offsets: np.ndarray, collect: bool = False):
-        """State posteriors of all lines; texts of like length go through the recursions together."""
-        logs = self.emissions(codes)
-        emit = np.maximum(np.exp(logs - logs.max(axis=1, keepdims=True, initial=-1e9)), 1e-12)
+    def posteriors(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """State posteriors of all lines."""
         out = np.zeros((len(codes), 4))
+        for here, part in _parts(offsets):
+            lines, _, _, post, _ = self._passes(codes[here], part)
+            out[here][lines] = post.T
+        return out
+
+    def expected(self, codes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Expected counts of the texts, which add up over any parts: bins of each statistic, moves and starts."""
+        total = np.zeros(COUNTS)
+        for here, part in _parts(offsets):
+            _, kinds, which, post, moves = self._passes(codes[here], part)
+            of_kinds = [np.bincount(which, weights=post[s], minlength=len(kinds)) for s in range(4)]
+            bins = [np.bincount((kinds >> shift) & mask, weights=k, minlength=size)[:size] for shift, mask, size in zip(SHIFTS, MASKS, SIZES) for k in of_kinds]
+            starts = post[:, : np.count_nonzero(np.diff(part))].sum(axis=1)
+            total += np.concatenate([*bins, moves.ravel(), starts])
+        return total
+
+    def _passes(self, codes: np.ndarray, offsets: np.ndarray):
+        """Forward and backward recursions of all texts together, place by place.
+
+        Lines are taken in the order of their place in the text, longest texts first, so that the texts that go on
+        from one place to the next are the first ones there.  Gives that order, the distinct symbols and which of them
+        each line has, the posteriors, and the expected moves.
+        """
         lengths = np.diff(offsets)
-        moves, starts = np.zeros((4, 4)), np.zeros(4)
         order = np.argsort(-lengths, kind="stable")
-        order = order[lengths[order] > 0]
-        for s in range(0, len(order), 2000):
-            part = order[s : s + 2000]
-            first, length = offsets[part], lengths[part]
-            alpha: list[np.ndarray] = []
-            for t in range(int(length[0])):
-                live = int(np.searchsorted(-length, -t, side="left"))  # texts with more than t lines
-                e = emit[first[:live] + t]
-                a = (self.start if t == 0 else alpha[-1][:live] @ self.move) * e
-                alpha.append(a / a.sum(axis=1, keepdims=True))
-            beta = np.ones((len(part), 4))
-            for t in range(int(length[0]) - 1, -1, -1):
-                live = len(alpha[t])
-                post = alpha[t] * beta[:live]
-                post /= post.sum(axis=1, keepdims=True)
-                out[first[:live] + t] = post
-                if t:
-                    back = emit[first[:live] + t] * beta[:live]
-                    if collect:
-                        pair = alpha[t - 1][:live, :, None] * self.move[None] * back[:, None, :]
-                        moves += (pair / pair.sum(axis=(1, 2), keepdims=True)).sum(axis=0)
-                    b = back @ self.move.T
-                    beta[:live] = b / b.sum(axis=1, keepdims=True)
-            if collect:
-                starts += out[first].sum(axis=0)
-        return (out, moves, starts) if collect else out
-
-    def fit(self, codes: np.ndarray, offsets: np.ndarray) -> LineModel:
+        first, lengths = offsets[order], lengths[order]
+        live = np.searchsorted(-lengths, -np.arange(lengths.max(initial=0)), side="left")
+        at = np.concatenate([[0], np.cumsum(live)])
+        lines = np.concatenate([np.zeros(0, dtype=np.int64), *(first[:n] + t for t, n in enumerate(live))])
+        kinds = np.flatnonzero(np.bincount(codes))
+        rank = np.zeros(kinds.max(initial=0) + 1, dtype=np.int32)
+        rank[kinds] = np.arange(len(kinds))
+        which = rank[codes[lines]]
+        logs = self.emissions(kinds).T
+        emit = np.maximum(np.exp(logs - logs.max(axis=0, keepdims=True, initial=-1e9)), 1e-12)[:, which]
+        alpha, beta, scale = np.empty_like(emit), np.ones_like(emit), np.empty(len(lines))
+        for t, n in enumerate(live):
+            here = slice(at[t], at[t + 1])
+            a = emit[:, here] * (self.move.T @ alpha[:, at[t - 1] : at[t - 1] + n] if t else self.start[:, None])
+            scale[here] = a.sum(axis=0)
+            np.divide(a, scale[here], out=alpha[:, here])
+        emit /= scale
+        moves = np.zeros((4, 4))
+        for t in range(len(live) - 1, 0, -1):
+            before = slice(at[t - 1], at[t - 1] + live[t])
+            back = emit[:, at[t] : at[t + 1]] * beta[:, at[t] : at[t + 1]]
+            moves += alpha[:, before] @ back.T
+            np.matmul(self.move, back, out=beta[:, before])
+        alpha *= beta
+        alpha /= alpha.sum(axis=0)
+        return lines, kinds, which, alpha, self.move * moves
+
+    def fit(self, counted: Callable[[LineModel], np.ndarray]) -> LineModel:
+        """`counted` gives the expected counts of all texts under a model."""
         prior, p = hints(self.p.hint), self.p
         move, start = self.move.copy(), self.start.copy()
-        for _ in range(p.rounds if len(codes) else 0):
-            post, moves, starts = self.posteriors(codes, offsets, collect=True)
-            for f, (shift, mask) in enumerate(zip(SHIFTS, MASKS)):
-                bins = (codes >> shift) & mask
-                got = np.stack([np.bincount(bins, weights=post[:, s], minlength=SIZES[f])[: SIZES[f]] for s in range(4)])
+        ends = np.cumsum([4 * size for size in SIZES])
+        for _ in range(p.rounds):
+            *bins, rest = np.split(counted(self), ends)
+            moves, starts = rest[:16].reshape(4, 4), rest[16:]
+            if not starts.sum():
+                break
+            for f, got in enumerate(x.reshape(4, -1) for x in bins):
                 self.tables[f] = (1 - p.learn) * prior[f] + p.learn * got / np.maximum(got.sum(axis=1, keepdims=True), 1e-9)
                 self.tables[f] /= self.tables[f].sum(axis=1, keepdims=True)
             self.move = 0.5 * move + 0.5 * moves / np.maximum(moves.sum(axis=1, keepdims=True), 1e-9)
@@ -317,18 +354,45 @@ def _reader(p: LineStates):
     return run
 
 
-def _unpack(cells: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    arrays = [np.frombuffer(c, dtype=np.int32) for c in cells]
-    offsets = np.zeros(len(arrays) + 1, dtype=np.int64)
-    np.cumsum([len(a) for a in arrays], out=offsets[1:])
-    return (np.concatenate(arrays) if arrays else np.zeros(0, dtype=np.int32)), offsets
+def _unpack(cells: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of all cells, and where each cell's begin; no cell is null."""
+    if not len(cells):
+        return np.zeros(0, dtype=np.int32), np.zeros(1, dtype=np.int64)
+    _, ends, data = cells.buffers()
+    wide = np.int64 if pa.types.is_large_binary(cells.type) else np.int32
+    offsets = np.frombuffer(ends, dtype=wide)[cells.offset : cells.offset + len(cells) + 1].astype(np.int64) // 4
+    numbers = np.frombuffer(data, dtype=np.int32, count=offsets[-1])[offsets[0] :] if offsets[-1] else np.zeros(0, dtype=np.int32)
+    return numbers, offsets - offsets[0]
+
+
+def _counter(model: LineModel):
+    """All symbols of a task's texts to one row: the sums of their expected counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, codes, lengths = np.zeros(COUNTS), [], []
+
+        def count() -> np.ndarray:
+            offsets = np.cumsum(np.concatenate([np.zeros(1, dtype=np.int64), *lengths]))
+            got = model.expected(np.concatenate([np.zeros(0, dtype=np.int32), *codes]), offsets)
+            codes.clear(), lengths.clear()
+            return got
+
+        for batch in batches:
+            numbers, offsets = _unpack(batch.column(0))
+            codes.append(numbers)
+            lengths.append(np.diff(offsets))
+            if sum(map(len, codes)) >= BLOCK:
+                total += count()
+        yield pa.record_batch([pa.array([(total + count()).tobytes()], pa.binary())], names=["sums"])
+
+    return run
 
 
 def _labeller(model: LineModel):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes, offsets = _unpack(batch.column("codes").to_pylist())
-            words, _ = _unpack(batch.column("line_words").to_pylist())
+            codes, offsets = _unpack(batch.column("codes"))
+            words, _ = _unpack(batch.column("line_words"))
             weighted = model.posteriors(codes, offsets) * words[:, None]
             upto = np.concatenate([np.zeros((1, 4)), np.cumsum(weighted, axis=0)])
             sums = upto[offsets[1:]] - upto[offsets[:-1]]
@@ -345,12 +409,12 @@ def text_statistics(texts: DataFrame, p: LineStates = LineStates()) -> DataFrame
     source = texts.filter(F.col("id").isNotNull()).select("tbl", F.col("id").cast("long").alias("id"), "text")
     numbers = ", ".join(f"{c} {'long' if i < 2 else 'double'}" for i, c in enumerate(STAT_FIELDS))
     read = materialize(source.mapInArrow(_reader(p), f"tbl string, id long, codes binary, line_words binary, {numbers}"), "line-symbols")
-    order = F.xxhash64("id", "tbl", F.lit(5))
-    share = min(1.0, 2.0 * p.train_texts / max(1, read.count()))  # else every task would send that many rows
-    some = read.filter(F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))).select(order.alias("at"), "tbl", "id", "codes")
-    picked = some.orderBy(F.pmod("at", F.lit(1 << 30)), "at", "tbl", "id", "codes").limit(p.train_texts)
-    codes, offsets = _unpack([r.codes for r in picked.collect()])
-    model = LineModel(p).fit(codes, offsets)
+    codes = read.select("codes")
+
+    def counted(model: LineModel) -> np.ndarray:
+        return sum((np.frombuffer(r.sums) for r in codes.mapInArrow(_counter(model), "sums binary").collect()), np.zeros(COUNTS))
+
+    model = LineModel(p).fit(counted)
     labelled = read.mapInArrow(_labeller(model), f"tbl string, id long, {numbers}, " + ", ".join(f"{s}_share double" for s in STATES))
     cells = [c for c in labelled.columns if c not in ("tbl", "id")]
     once = labelled.groupBy("tbl", "id").agg(F.max(F.struct(*cells)).alias("r")).select("tbl", "id", "r.*")

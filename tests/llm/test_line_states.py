@@ -136,3 +136,33 @@ def test_the_sample_is_the_same_in_any_parts(spark):
     p = LineStates(train_texts=100)
     got = [sorted(map(tuple, text_statistics(df.repartition(n), p).select("id", "prose_share").collect())) for n in (1, 9)]
     assert np.allclose(got[0], got[1], atol=1e-9)
+
+
+def test_the_model_is_learned_from_all_texts(spark):
+    df = spark.createDataFrame([("t", i, x) for i, (_, x) in enumerate(planted())], "tbl string, id long, text string")
+    few, most = [sorted(map(tuple, text_statistics(df, LineStates(train_texts=n)).select("id", "prose_share").collect())) for n in (60, 8000)]
+    assert np.allclose(few, most, atol=1e-9)
+
+
+def test_expected_counts_add_up_over_parts_and_equal_the_sum_over_paths():
+    from itertools import product
+
+    texts = [PROSE + "| 1 | 2 | 3 |\n* lamp\n", "", "* lamp\n* rope\n", PROSE, "Qzx wvlkj rtpq\n| 4 | 5 |\n* lamp of Merin\n"]
+    model = LineModel(LineStates())
+    codes = [np.array([symbol(x)[0] for x in pieces(t, 18)], dtype=np.int32) for t in texts]
+    moves, starts, marks = np.zeros((4, 4)), np.zeros(4), np.zeros((4, 4))
+    for c in codes:
+        emit = np.exp(model.emissions(c))
+        paths = list(product(range(4), repeat=len(c))) if len(c) else []
+        weights = [model.start[p[0]] * np.prod([model.move[a, b] for a, b in zip(p, p[1:])]) * np.prod([emit[t, s] for t, s in enumerate(p)]) for p in paths]
+        for path, w in zip(paths, np.array(weights) / sum(weights)):
+            starts[path[0]] += w
+            for a, b in zip(path, path[1:]):
+                moves[a, b] += w
+            for t, s in enumerate(path):
+                marks[s, (c[t] >> 11) & 3] += w
+    sums = lambda cs: model.expected(np.concatenate(cs), np.cumsum([0, *map(len, cs)]))
+    got = sums(codes)
+    assert np.allclose(got[-4:], starts, atol=1e-6) and np.allclose(got[-20:-4].reshape(4, 4), moves, atol=1e-6)
+    assert np.allclose(got[4 * 32 : 4 * 36].reshape(4, 4), marks, atol=1e-6)
+    assert np.allclose(got, sum(sums([c]) for c in codes)) and np.allclose(got, sums(codes[:2]) + sums(codes[2:]))
