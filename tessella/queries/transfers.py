@@ -26,16 +26,14 @@ def _docs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def _as_files(spark: SparkSession, folder: str) -> str:
-    """A file for every document, in a folder of its own."""
+    """A file for every document, in one new folder."""
     path = scratch(spark, "text-files")
-    # tasks move their own files into place; else the driver moves all of them, one after the other
-    write = _docs(spark, folder).select("doc_id", "text").repartition("doc_id").write.option("mapreduce.fileoutputcommitter.algorithm.version", "2")
-    write.partitionBy("doc_id").text(path)
+    sinks.write_text_files(_docs(spark, folder), "doc_id", "text", path)
     return path
 
 
 def _id() -> Column:
-    return F.regexp_extract("path", r"doc_id=(\d+)", 1).cast("long").alias("doc_id")
+    return F.regexp_extract("path", r"doc_id=(-?\d+)", 1).try_cast("long").alias("doc_id")
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:

@@ -12,13 +12,15 @@ from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSelector, FileType
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.functions.cleaning import Cleaning, clean, strip_markdown
 from tessella.functions.html_text import page_text
 from tessella.operators.training import with_offsets
-from tessella.runtime import broadcast_if_small, materialize
+from tessella.runtime import arrow_path, broadcast_if_small, materialize
 
 _word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _sheet = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -99,6 +101,64 @@ def ending(path: str) -> str:
     return got
 
 
+def _hidden(name: str) -> bool:
+    return name.startswith(".") or name.startswith("_") and "=" not in name or name.endswith("._COPYING_")
+
+
+def _listed(spark: SparkSession, place: str, recursive: bool) -> DataFrame:
+    """(path) of the files of a folder, of a file or of a glob; hidden ones are left out.
+
+    Folders are listed level by level in tasks, so that the driver holds no list of files.
+    """
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(place)
+    system = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    starts = [(x.getPath().toString(), x.isDirectory()) for x in system.globStatus(where) or []]
+    if not starts:
+        raise FileNotFoundError(place)
+
+    def entries(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for folder in batch.column("path").to_pylist():
+                fs, path = arrow_path(folder)
+                got = [x for x in fs.get_file_info(FileSelector(path)) if x.type in (FileType.File, FileType.Directory) and not _hidden(x.base_name)]
+                yield pa.record_batch([pa.array([f"{folder.rstrip('/')}/{x.base_name}" for x in got], pa.string()), pa.array([x.type == FileType.Directory for x in got], pa.bool_())], names=["path", "is_folder"])
+
+    level = spark.createDataFrame(starts, "path string, is_folder boolean")
+    files, folders = level.filter("not is_folder"), level.filter("is_folder").select("path")
+    n = sum(x[1] for x in starts)
+    while n:
+        parts = min(n, 4 * spark.sparkContext.defaultParallelism)
+        level = materialize(folders.repartition(parts).mapInArrow(entries, "path string, is_folder boolean"), "listing")
+        files, folders = files.unionByName(level.filter("not is_folder")), level.filter("is_folder").select("path")
+        n = folders.count() if recursive else 0
+    return files.select("path")
+
+
+#: A batch of read files is passed on once it holds so many bytes.
+BATCH_BYTES = 4 << 20
+
+
+def _contents(files: DataFrame) -> DataFrame:
+    """`files`(path, ..) with their bytes as `content`, in two tasks for a core, whatever their number.  Materialized."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            start, held, data = 0, 0, []
+            for k, place in enumerate(batch.column("path").to_pylist()):
+                fs, path = arrow_path(place)
+                with fs.open_input_stream(path) as f:
+                    data.append(f.read())
+                held += len(data[-1])
+                if held > BATCH_BYTES or k + 1 == batch.num_rows:
+                    own = batch.slice(start, len(data))
+                    yield pa.record_batch([*own.columns, pa.array(data, pa.binary())], names=[*own.schema.names, "content"])
+                    start, held, data = k + 1, 0, []
+
+    spark = files.sparkSession
+    dealt = files.repartition(2 * spark.sparkContext.defaultParallelism, "path")
+    return materialize(dealt.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in files.dtypes) + ", content binary"), "contents")
+
+
 #: Opening a small file costs a task about as much as reading so many bytes; Spark's own 4 MB leave two files to a task.
 SMALL_FILE = {"spark.sql.files.openCostInBytes": str(64 << 10)}
 
@@ -133,14 +193,11 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
     extractors = dict(EXTRACTORS)
     name = F.element_at(F.split("path", "/"), -1)
     kind = F.lower(F.regexp_extract(name, r"\.([^.]+)$", 1))
-    with _many_files(spark):  # listed, opened and read once
-        for k, p in enumerate(paths):
-            files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(p).select("path", "content", F.lit(k).alias("input"))
-            parts.append(files)
-        found = parts[0]
-        for more in parts[1:]:
-            found = found.unionByName(more)
-        found = materialize(found.filter(kind.isin(list(extractors))), "contents")
+    for k, p in enumerate(paths):
+        parts.append(_listed(spark, p, recursive).select("path", F.lit(k).alias("input")))
+    found = parts[0]
+    for more in parts[1:]:
+        found = found.unionByName(more)
 
     @F.pandas_udf("text string, error string")
     def extract(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
@@ -154,13 +211,12 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
                 errors.append(f"{type(x).__name__}: {x}"[:200])
         return pd.DataFrame({"text": texts, "error": errors})
 
-    listed = found.select("path", "input", kind.alias("ending"), F.regexp_replace(name, r"\.[^.]+$", "").alias("_stem"))
+    listed = found.select("path", "input", kind.alias("ending"), F.regexp_replace(name, r"\.[^.]+$", "").alias("_stem")).filter(F.col("ending").isin(list(extractors)))
     listed = materialize(listed, "file-names")
     twin = F.row_number().over(Window.partitionBy("_stem").orderBy("input", "path"))
     named = listed.select("path", "input", "ending", F.when(twin == 1, F.col("_stem")).otherwise(F.concat_ws("_", "_stem", "ending")).alias("stem"))
     listed = materialize(_numbered(named), "files-in-order")
-    listed = broadcast_if_small(listed, listed.count(), 400)
-    d = found.join(listed, ["path", "input"]).withColumn("r", extract("content", "ending"))
+    d = _contents(listed).withColumn("r", extract("content", "ending"))
     raw = F.when(F.col("ending").isin(list(MARKDOWN)), strip_markdown(F.col("r.text"))).otherwise(F.col("r.text"))
     return d.select("path", "stem", "ending", clean(raw, level).alias("text"), F.col("r.error").alias("error"), "doc_idx")
 

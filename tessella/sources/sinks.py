@@ -3,11 +3,14 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.operators.training import with_offsets
+from tessella.runtime import arrow_path, broadcast_if_small, materialize, qualified
 
 
 def write_tokens(tokens: DataFrame, path: str) -> None:
@@ -46,6 +49,42 @@ def write_chunks(records: DataFrame, text: str, per_file: int, order: str, path:
     named.write.mode("overwrite").partitionBy("name").text(path)
 
 
+def write_text_files(records: DataFrame, key: str, text: str, path: str) -> None:
+    """A text file for every row, `path`/`key`=value-number.txt; the numbers tell rows of one key apart.
+
+    Tasks write through Arrow's file systems: Spark's writer needs a folder for each value, and starts a program for the
+    rights of each folder and file where Hadoop's native library is missing.  A task that is run again writes the
+    same files.  Texts are shuffled only where several rows have one key.
+    """
+    spark = records.sparkSession
+    root = qualified(spark, path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        system, base = arrow_path(root)
+        last, n = object(), 0
+        for batch in batches:
+            for value, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                last, n = value, n + 1 if value == last else 0
+                with system.open_output_stream(f"{base}/{key}={'null' if value is None else value}-{n:05d}.txt") as out:
+                    out.write(f"{content or ''}\n".encode())
+            yield pa.record_batch([pa.array([batch.num_rows], pa.int64())], names=["n"])
+
+    def write(rows: DataFrame) -> None:
+        rows.mapInArrow(run, "n long").agg(F.sum("n")).collect()
+
+    system, base = arrow_path(root)
+    system.create_dir(base)
+    rows = records.select(F.col(key).cast("string").alias("k"), F.col(text).alias("t"))
+    again = materialize(rows.groupBy("k").agg(F.count("*").alias("n")).filter("n > 1").select("k"), "repeated-keys")
+    n = again.count()
+    if n:
+        again = broadcast_if_small(again, n, 64)
+        same = rows.alias("r").join(again.alias("a"), F.expr("r.k <=> a.k"), "left_semi")
+        write(same.repartition("k").sortWithinPartitions("k", "t"))
+        rows = rows.alias("r").join(again.alias("a"), F.expr("r.k <=> a.k"), "left_anti")
+    write(rows)
+
+
 def write_jsonl(examples: DataFrame, path: str, append: bool = False) -> None:
     examples.write.mode("append" if append else "overwrite").json(path)
 

@@ -182,3 +182,34 @@ def test_many_small_files_are_read_once_by_few_tasks(spark, tmp_path, monkeypatc
     assert {tuple(r) for r in files.read_files(spark, str(tmp_path), recursive=True).select(short, "text").collect()} == want
     assert [n for name, n in tasks if name == "contents" and n <= 8] == [n for name, n in tasks if name == "contents"] and sum(name == "contents" for name, _ in tasks) == 2
     assert spark.conf.get("spark.sql.files.openCostInBytes") == cost
+
+
+def test_files_of_equal_negative_and_missing_ids(spark, tmp_path):
+    import duckdb
+
+    from tessella.queries import transfers
+
+    rows = [(i, f"text {i}\nnext") for i in (1, 2, 10, 12, 100)] + [(-5, "below"), (7, "first"), (7, "second"), (None, "no id"), (3, None), (4, "")]
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    by = lambda rows: sorted(rows, key=str)
+    for name, cols in (("ingested_files", "doc_id, ending, n_chars, is_read"),):
+        got = getattr(transfers, name)(spark, str(tmp_path)).select(*cols.split(", "))
+        assert by(map(tuple, got.collect())) == by(con.sql(f"select {cols} from ({transfers.SQL[name]})").fetchall())
+
+
+def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
+    for name in ("a/x.txt", "a/b/y.txt", "a/b=1/z.TXT", "top.txt", "_no/x.txt", "a/.no.txt", "a/_no.txt", "_b=2/k.txt", "wörter 1%/m n.txt"):
+        (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / name).write_text(name)
+    sources, write = [], files.materialize
+    monkeypatch.setattr(files, "materialize", lambda df, name: sources.extend(df.inputFiles()) or write(df, name))
+    paths = lambda df: {r.path.split(tmp_path.name + "/")[1] for r in df.collect()}
+    every = {"a/x.txt", "a/b/y.txt", "a/b=1/z.TXT", "top.txt", "_b=2/k.txt", "wörter 1%/m n.txt"}
+    assert paths(files.read_files(spark, str(tmp_path), recursive=True)) == every == {r.text for r in files.read_files(spark, str(tmp_path), recursive=True).collect()}
+    assert paths(files.read_files(spark, str(tmp_path))) == {"top.txt"} == paths(files.read_files(spark, f"{tmp_path}/t*.txt"))
+    assert paths(files.read_files(spark, f"{tmp_path}/top.txt")) == {"top.txt"}
+    assert not [x for x in sources if x.lower().endswith(".txt")]  # else the driver held a list of them
+    with pytest.raises(FileNotFoundError):
+        files.read_files(spark, str(tmp_path / "nowhere"))
