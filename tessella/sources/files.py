@@ -8,7 +8,6 @@ from __future__ import annotations
 import io
 import zipfile
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -20,7 +19,7 @@ from pyspark.sql import functions as F
 from tessella.functions.cleaning import Cleaning, clean, strip_markdown
 from tessella.functions.html_text import page_text
 from tessella.operators.training import with_offsets
-from tessella.runtime import arrow_path, broadcast_if_small, materialize
+from tessella.runtime import arrow_path, materialize
 
 _word = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _sheet = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -159,24 +158,6 @@ def _contents(files: DataFrame) -> DataFrame:
     return materialize(dealt.mapInArrow(run, ", ".join(f"{n} {t}" for n, t in files.dtypes) + ", content binary"), "contents")
 
 
-#: Opening a small file costs a task about as much as reading so many bytes; Spark's own 4 MB leave two files to a task.
-SMALL_FILE = {"spark.sql.files.openCostInBytes": str(64 << 10)}
-
-
-@contextmanager
-def _many_files(spark: SparkSession) -> Iterator[None]:
-    """Within, folders are listed and files read by tasks of many files each; settings go back to what they were."""
-    wanted = SMALL_FILE | {"spark.sql.sources.parallelPartitionDiscovery.parallelism": str(8 * spark.sparkContext.defaultParallelism)}
-    was = {k: spark.conf.get(k, None) for k in wanted}
-    try:
-        for k, v in wanted.items():
-            spark.conf.set(k, v)
-        yield
-    finally:
-        for k, v in was.items():
-            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-
-
 def _numbered(names: DataFrame) -> DataFrame:
     """`names`(path, input, ..) with `doc_idx`, their place by input and path; names are numbered in ranges, not in one task."""
     keyed = names.withColumn("_one", F.lit(1)).withColumn("_at", F.concat(F.lpad(F.col("input").cast("string"), 6, "0"), F.lit("|"), "path"))
@@ -224,17 +205,15 @@ def read_files(spark: SparkSession, paths: str | list[str], recursive: bool = Fa
 def read_texts(spark: SparkSession, folders: list[str]) -> DataFrame:
     """(path, text, doc_idx) of the .txt files under the folders, sorted within each; a folder without any is an error."""
     parts = []
-    with _many_files(spark):  # listed, opened and read once
-        for k, folder in enumerate(folders):
-            files = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", "true").load(folder)
-            parts.append(materialize(files.select(F.lit(k).alias("input"), "path", F.make_valid_utf8(F.col("content").cast("string")).alias("text")), "contents"))
-            if parts[-1].isEmpty():
-                raise FileNotFoundError(f"no .txt files under {folder}")
+    for k, folder in enumerate(folders):
+        parts.append(_listed(spark, folder, True).filter(F.col("path").endswith(".txt")).select("path", F.lit(k).alias("input")))
+        if parts[-1].isEmpty():
+            raise FileNotFoundError(f"no .txt files under {folder}")
     out = parts[0]
     for more in parts[1:]:
         out = out.unionByName(more)
-    listed = materialize(_numbered(out.select("path", "input")), "files-in-order")
-    return out.join(broadcast_if_small(listed, listed.count(), 400), ["path", "input"]).drop("input")
+    listed = materialize(_numbered(out), "files-in-order")
+    return _contents(listed).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"), "doc_idx")
 
 
 def ingest(spark: SparkSession, source: str | list[str], target: str, recursive: bool = False, level: Cleaning = Cleaning.STANDARD) -> int:

@@ -194,7 +194,7 @@ def test_files_of_equal_negative_and_missing_ids(spark, tmp_path):
     con = duckdb.connect()
     con.execute(f"create view documents as select * from read_parquet('{tmp_path}/documents.parquet/*.parquet')")
     by = lambda rows: sorted(rows, key=str)
-    for name, cols in (("ingested_files", "doc_id, ending, n_chars, is_read"),):
+    for name, cols in (("text_files", "doc_id, text"), ("text_files", "doc_id, doc_idx"), ("ingested_files", "doc_id, ending, n_chars, is_read")):
         got = getattr(transfers, name)(spark, str(tmp_path)).select(*cols.split(", "))
         assert by(map(tuple, got.collect())) == by(con.sql(f"select {cols} from ({transfers.SQL[name]})").fetchall())
 
@@ -208,6 +208,7 @@ def test_files_are_listed_in_tasks(spark, tmp_path, monkeypatch):
     paths = lambda df: {r.path.split(tmp_path.name + "/")[1] for r in df.collect()}
     every = {"a/x.txt", "a/b/y.txt", "a/b=1/z.TXT", "top.txt", "_b=2/k.txt", "wörter 1%/m n.txt"}
     assert paths(files.read_files(spark, str(tmp_path), recursive=True)) == every == {r.text for r in files.read_files(spark, str(tmp_path), recursive=True).collect()}
+    assert paths(files.read_texts(spark, [str(tmp_path)])) == every - {"a/b=1/z.TXT"}
     assert paths(files.read_files(spark, str(tmp_path))) == {"top.txt"} == paths(files.read_files(spark, f"{tmp_path}/t*.txt"))
     assert paths(files.read_files(spark, f"{tmp_path}/top.txt")) == {"top.txt"}
     assert not [x for x in sources if x.lower().endswith(".txt")]  # else the driver held a list of them
